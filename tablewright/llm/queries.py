@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, quality_rules
-from .common import documents
+from . import fingerprints, packing, quality_classifier, quality_rules
+from .common import crc_fold, documents
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Training labels: those of documents outside the held-out fold."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_fold() != 0).select("doc_id", F.col(label).alias("label"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_classifier.classify(documents(spark, sf_dir), labelled(spark, sf_dir, "quality"), threshold=0.3)
+    return found.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(documents(spark, sf_dir), packing.vocabulary()))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +34,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_fingerprints, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op5_packing, op6_fingerprints, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
