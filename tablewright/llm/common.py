@@ -114,12 +114,12 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word `[^\\x20\\x09-\\x0D]+`, and the row that holds it."""
+def spans_outside(between: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each longest run of bytes that `between` (by byte value) does not mark, and the row that holds it."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    space = _SPACE[data]
+    space = between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
     before, after = cut[:-1].copy(), cut[1:].copy()
@@ -129,6 +129,11 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
+def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word `[^\\x20\\x09-\\x0D]+`, and the row that holds it."""
+    return spans_outside(_SPACE, data, offs)
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word with A-Z lower-cased, and its row."""
     start, end, row = word_spans(data, offs)

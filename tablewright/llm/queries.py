@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, quality_classifier, quality_rules
+from . import fingerprints, packing, quality_classifier, quality_rules, toxicity
 from .common import crc_fold, documents
 
 
@@ -21,6 +21,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classify(documents(spark, sf_dir), labelled(spark, sf_dir, "toxic"), threshold=0.5)
+    return found.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), packing.vocabulary()))
 
@@ -34,7 +39,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_packing, op6_fingerprints, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_toxicity, op5_packing, op6_fingerprints, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
