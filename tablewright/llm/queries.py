@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, quality_classifier, quality_rules, toxicity
+from . import fingerprints, packing, quality_classifier, quality_rules, substring_dedup, toxicity
 from .common import crc_fold, documents
 
 
@@ -34,12 +34,17 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), span=50)
+    return found.select("_rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_toxicity, op5_packing, op6_fingerprints, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_toxicity, op5_packing, op6_fingerprints, op8_suffix_dedup, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
