@@ -21,36 +21,51 @@ from .common import table
 RULES = ("v_length", "v_symbols", "v_dup_lines", "v_repeats", "v_capitals", "v_word_size", "v_marks")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: Catalyst does not share what stands inside higher-order functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _repeated_words(words: Column) -> Column:
     """How many words lie in a 3-word window that occurs twice or more; n log n in the words."""
     n = F.size(words)
+
+    def covered(at: Column) -> Column:
+        gaps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
+        return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
+
+    def sorted_windows(order: Column) -> Column:
+        m, no = F.size(order), F.array(F.lit(False))
+        same = F.zip_with(F.slice(order, 1, m - 1), F.slice(order, 2, m - 1), lambda a, b: a["h"] == b["h"])
+        at = _let(same, lambda s: F.sort_array(F.array_compact(F.zip_with(F.zip_with(F.concat(no, s), F.concat(s, no), lambda a, b: a | b), order, lambda f, x: F.when(f, x["i"])))))
+        return _let(at, covered)
+
+    def hashed(hashes: Column) -> Column:
+        order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(_let(order, sorted_windows))
+
     trio = F.arrays_zip(F.slice(words, 1, n - 2).alias("a"), F.slice(words, 2, n - 2).alias("b"), F.slice(words, 3, n - 2).alias("c"))
-    hashes = F.transform(trio, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
-    order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    m = F.size(order)
-    same = F.zip_with(F.slice(order, 1, m - 1), F.slice(order, 2, m - 1), lambda a, b: a["h"] == b["h"])
-    hit = F.zip_with(F.concat(F.array(F.lit(False)), same), F.concat(same, F.array(F.lit(False))), lambda a, b: a | b)
-    at = F.sort_array(F.array_compact(F.zip_with(hit, order, lambda f, s: F.when(f, s["i"]))))
-    gaps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    covered = F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
-    return F.when(n < 4, 0).when(F.size(F.array_distinct(hashes)) == n - 2, 0).otherwise(covered).cast("long")
+    return F.when(n < 4, 0).otherwise(_let(F.transform(trio, lambda x: F.xxhash64(x["a"], x["b"], x["c"])), hashed)).cast("long")
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts that the rules look at, one row per document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]"), "").alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_l"))
-    return base.select(
-        "doc_id",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("_w")).alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.regexp_count("_t", F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count("_t", F.lit("!!|\\?\\?|\\.\\.\\.")).cast("long").alias("n_marks"),
+    words = _let(
+        F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]"), ""),
+        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated_words(w).alias("n_repeat_words")),
+    )
+    lines = _let(
+        F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
+        lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")),
+    )
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    # one struct, so that no later projection computes a part of it again
+    every = _let(
+        F.struct(words.alias("w"), lines.alias("l"), count("[#*$%&|<>]").alias("n_symbols"), count("\\p{Lu}").alias("n_upper"), count("!!|\\?\\?|\\.\\.\\.").alias("n_marks")),
+        lambda x: F.struct(*(x["w"][c].alias(c) for c in ("n_words", "word_chars")), x["n_symbols"].alias("n_symbols"), x["l"]["n_dup_lines"].alias("n_dup_lines"), x["w"]["n_repeat_words"].alias("n_repeat_words"), x["l"]["n_lines"].alias("n_lines"), x["n_upper"].alias("n_upper"), x["n_marks"].alias("n_marks")),
     )
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(every)))
 
 
 def votes(m: DataFrame) -> DataFrame:
