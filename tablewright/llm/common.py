@@ -53,7 +53,7 @@ def crc_fold(column: str = "doc_id", mod: int = 5):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 14) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes of their texts, offsets) for runs of rows with about max_bytes of text; nulls are empty."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
@@ -68,7 +68,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_byt
         lo = 0
         while lo < len(col):
             hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1)
-            hi = min(hi, len(col))
+            hi = min(hi, len(col), lo + max_rows)
             yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             lo = hi
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import fingerprints, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
 from .common import crc_fold, documents
 
 
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), packing.vocabulary()))
 
@@ -44,7 +48,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_toxicity, op5_packing, op6_fingerprints, op8_suffix_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_toxicity, op4_ngram_join, op5_packing, op6_fingerprints, op8_suffix_dedup, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
