@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, input_slices, mix, table, text_chunks, word_hashes
 from .components import components
-from .substring_dedup import FILTER_BITS, _bitmap, _slot
+from .substring_dedup import _bitmap, _by_bucket, _filter_of, _in, _slabs, _slot
 
 ORDER_SHARE, FREQUENT, STAR, SKETCH, BLOCK = 0.3, 50, 32, 64, 2048
 MASK = U64((1 << 48) - 1)
@@ -88,36 +88,6 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _by_bucket(bucket: np.ndarray, buckets: int):
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), order[edges[b] : edges[b + 1]]
-
-
-def _slabs(slots: np.ndarray) -> tuple[list[int], list[bytes]]:
-    slots = np.sort(slots)
-    edges = np.searchsorted(slots >> (FILTER_BITS - 8), np.arange(257))
-    some = np.flatnonzero(np.diff(edges))
-    return some.tolist(), [(slots[edges[x] : edges[x + 1]] & ((1 << (FILTER_BITS - 8)) - 1)).astype("<i4").tobytes() for x in some]
-
-
-def _in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = _slot(values)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _filter_of(values: DataFrame) -> np.ndarray:
-    """A fixed-size filter of a column of longs."""
-
-    def each(batches):
-        for b in batches:
-            slab, raw = _slabs(np.unique(_slot(b.column(0).to_numpy().astype(U64))))
-            yield pa.RecordBatch.from_arrays([pa.array(slab, pa.int32()), pa.array(raw, pa.binary())], names=["slab", "slots"])
-
-    return _bitmap(values.mapInArrow(each, "slab int, slots binary"))
-
-
 def frequent(texts: DataFrame, n: int, buckets: int) -> np.ndarray:
     """Filter of the shingles that more than FREQUENT documents hold, among the lowest ORDER_SHARE of hash values."""
     top = U64(int(ORDER_SHARE * (1 << 48)))

@@ -8,11 +8,11 @@ at i and i + length, sorted and renamed, until it is unique or the length passes
 * Suffixes are sampled: of every `span` consecutive bytes, the start with the least name (the leftmost of equals) is an
   anchor. The choice depends on those bytes alone, so two equal strings of that length have the same anchor at the
   same place, and no match is lost.
-* Spark sorts the anchors by name in salted buckets. A name of one document only is unique: it goes. The others are ranked
+* Spark deals the anchors out and sorts them by name. A name of one document only is unique: it goes. The others are ranked
   again by a longer string, all the bytes whose windows chose the anchor; where the rank is that of a smaller
   document, all those windows match at once.
-* Anchors that share a name but not the longer string are ranked once more, window by window, by the pair of names that
-  reaches the threshold exactly.
+* Of the documents that are first to hold such a string, those whose anchor's name others share are ranked once more, window by
+  window, by names that reach the threshold exactly.
 
 A third of all rows in one group of copies stays cheap: equal strings within a chunk of texts send only the one of the smallest id.
 Null text: empty. A null id is greater than all others. Rows that share an id never match each other; each
@@ -31,16 +31,23 @@ from pyspark.sql import functions as F
 
 from .common import _BYTES, U64, Spans, input_slices, mix, table, text_chunks
 
-NAME, CHUNK, FILTER_BITS = 16, 3 << 20, 27
+NAME, CHUNK, FILTER_BITS = 24, 3 << 20, 27
 _STEP = mix(np.arange(1, 9, dtype=U64)) | U64(1)
 
 
 def names(data: np.ndarray, size: int = NAME) -> np.ndarray:
-    """Names of the `size`-byte strings (a power of two) at every position but the last ones, by doubling."""
-    h, n, k = _BYTES[data], 1, 0
-    while n < size:
-        h = h[: max(len(h) - n, 0)] * _STEP[k] + h[n:]
-        n, k = 2 * n, k + 1
+    """Names of the `size`-byte strings at every position but the last ones, by doubling; the last step overlaps less than it could."""
+    levels, n = {1: _BYTES[data]}, 1
+    while 2 * n <= size:
+        h = levels[n]
+        levels[2 * n] = h[: max(len(h) - n, 0)] * _STEP[n.bit_length()] + h[n:]
+        n *= 2
+    h = levels[n]
+    if n < size:
+        more = size - n
+        part = levels[1 << (more - 1).bit_length()]  # covers the rest, overlapping what is named already
+        width = 1 << (more - 1).bit_length()
+        h = h[: max(len(data) - size + 1, 0)] * _STEP[7] + part[size - width :][: max(len(data) - size + 1, 0)]
     return mix(h)
 
 
@@ -87,22 +94,26 @@ def _from_six(raw: bytes) -> np.ndarray:
 
 
 _BLOB = "bucket int, n int, hashes binary, places binary, ids binary"
-_HIT = "k long, t long, lo int, hi int"
+_HIT = "k long, t int, lo int, hi int"
 
 
 def _keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return rows.column(0).to_numpy(), rows.column(1).to_numpy()
 
 
-def _blobs(buckets: int, bucket: np.ndarray, hashes: list[np.ndarray], row: np.ndarray, lo: np.ndarray, more: list[np.ndarray], k: np.ndarray, t: np.ndarray):
-    """One packed row for each bucket: hashes, text, place and byte-wide columns of its entries."""
+def _by_bucket(bucket: np.ndarray, buckets: int):
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    out: list[list] = [[], [], [], [], []]
     for b in np.flatnonzero(np.diff(edges)):
-        i = order[edges[b] : edges[b + 1]]
+        yield int(b), order[edges[b] : edges[b + 1]]
+
+
+def _blobs(buckets: int, bucket: np.ndarray, hashes: list[np.ndarray], row: np.ndarray, lo: np.ndarray, more: list[np.ndarray], k: np.ndarray, t: np.ndarray):
+    """One packed row for each bucket: hashes, text, place and byte-wide columns of its entries."""
+    out: list[list] = [[], [], [], [], []]
+    for b, i in _by_bucket(bucket, buckets):
         used, idx = np.unique(row[i], return_inverse=True)
-        for c, v in zip(out, (int(b), len(i), b"".join(_six(h[i]) for h in hashes), _squeeze(np.diff(idx, prepend=0).astype("<i4"), np.diff(lo[i], prepend=0).astype("<i4"), *(m[i].astype(np.uint8) for m in more)), np.r_[k[used], t[used]].astype("<i8").tobytes()), strict=True):
+        for c, v in zip(out, (b, len(i), b"".join(_six(h[i]) for h in hashes), _squeeze(np.diff(idx, prepend=0).astype("<i4"), np.diff(lo[i], prepend=0).astype("<i4"), *(m[i].astype(np.uint8) for m in more)), _squeeze(np.diff(k[used], prepend=0).astype("<i8"), t[used].astype("<i4"))), strict=True):
             c.append(v)
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["bucket", "n", "hashes", "places", "ids"])
 
@@ -110,11 +121,13 @@ def _blobs(buckets: int, bucket: np.ndarray, hashes: list[np.ndarray], row: np.n
 def _unpack(group: pa.Table, n_hashes: int, n_more: int) -> list[np.ndarray]:
     """Hashes, k, t, lo and byte columns of all blobs of a bucket."""
     parts: list[list] = [[] for _ in range(n_hashes + 3 + n_more)]
+    expand = zstandard.ZstdDecompressor().decompress
     for n, hashes, places, ids in zip(*(group.column(c).to_pylist() for c in ("n", "hashes", "places", "ids")), strict=True):
-        raw = zstandard.ZstdDecompressor().decompress(places)
+        raw, who = expand(places), expand(ids)
         idx, lo = np.cumsum(np.frombuffer(raw[: 4 * n], "<i4")), np.cumsum(np.frombuffer(raw[4 * n : 8 * n], "<i4"))
-        who = np.frombuffer(ids, "<i8").reshape(2, -1)
-        cols = [*(_from_six(hashes[6 * n * j : 6 * n * (j + 1)]) for j in range(n_hashes)), who[0][idx], who[1][idx], lo, *(np.frombuffer(raw[(8 + j) * n : (9 + j) * n], np.uint8) for j in range(n_more))]
+        m = len(who) // 12
+        k, t = np.cumsum(np.frombuffer(who[: 8 * m], "<i8")), np.frombuffer(who[8 * m :], "<i4")
+        cols = [*(_from_six(hashes[6 * n * j : 6 * n * (j + 1)]) for j in range(n_hashes)), k[idx], t[idx], lo, *(np.frombuffer(raw[(8 + j) * n : (9 + j) * n], np.uint8) for j in range(n_more))]
         for p, c in zip(parts, cols, strict=True):
             p.append(c)
     return [np.concatenate(p) for p in parts]
@@ -128,112 +141,176 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def _hits(k, t, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(t, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["k", "t", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(t, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["k", "t", "lo", "hi"])
 
 
-def duplicated(docs: DataFrame, span: int) -> DataFrame:
+def _copies(k: np.ndarray, t: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Marks texts of a chunk that equal one of a smaller id in it: hash and size are the same."""
+    order = np.lexsort((k, t, size))
+    g = _groups(size[order], t[order])
+    out = np.zeros(len(k), bool)
+    out[order] = k[order] > np.repeat(k[order][g], np.diff(g, append=len(order)))
+    return out
+
+
+def _first_of(key: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Marks entries of a larger id than another one of the same key."""
+    order = np.lexsort((k, key))
+    g = _groups(key[order])
+    out = np.zeros(len(k), bool)
+    out[order] = k[order] > np.repeat(k[order][g], np.diff(g, append=len(order)))
+    return out
+
+
+def _holder(name: np.ndarray, whole: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Names a string at an anchor in a document."""
+    low = U64((1 << 48) - 1)
+    return mix((name & low) * _STEP[1] + (whole & low) * _STEP[2] + k.astype(U64) * _STEP[3])
+
+
+def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
     """Runs of window starts (k, t: the row; lo, hi: first and last start) whose `span`-byte string starts in a smaller document too.
 
-    docs: k (id, the largest long for null), t (hash of the text), text.
+    docs: k (id, the largest long for null), t (a hash of the text, to tell rows of one id apart), text.
     """
-    if span < 2 * NAME:
-        raise ValueError(f"span must be {2 * NAME} at least")
-    buckets = 4 * input_slices(docs)
+    if span < NAME + 1:
+        raise ValueError(f"span must be {NAME + 1} at least")
+    buckets, low = input_slices(docs), U64((1 << 48) - 1)
+
+    def kept_anchors(rows, data, offs):
+        k, t = _keys(rows)
+        copy = _copies(k, rows.column(2).to_numpy(), np.diff(offs))
+        a, lo, hi, row, name = anchors(data, offs, span)
+        keep = ~copy[row]
+        return k, t, copy, lo[keep], hi[keep], row[keep], name[keep]
+
+    def send_names(batches):
+        for rows, data, offs in text_chunks(batches, "text", CHUNK):
+            k, _, _, _, _, row, name = kept_anchors(rows, data, offs)
+            order = np.lexsort((k[row], name))
+            name, ids = name[order], k[row][order]
+            g = _groups(name)
+            twice = ids[g] != ids[np.append(g[1:], len(ids)) - 1] if len(g) else np.zeros(0, bool)
+            name = name[g]
+            found = list(_by_bucket(((name >> U64(48)) % U64(buckets)).astype(np.int64), buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([_six(name[i]) for _, i in found], pa.binary()), pa.array([np.packbits(twice[i]).tobytes() for _, i in found], pa.binary())], names=["bucket", "names", "twice"])
+
+    def shared(key, group):
+        # equal ids meet in one text chunk only if they are near each other; rows of one id elsewhere count as sharing, which is harmless
+        names_, twice = [], []
+        for x, y in zip(group.column("names").to_pylist(), group.column("twice").to_pylist(), strict=True):
+            names_.append(_from_six(x))
+            twice.append(np.unpackbits(np.frombuffer(y, np.uint8))[: len(x) // 6])
+        name, twice = np.concatenate(names_), np.concatenate(twice).astype(np.int64)
+        order = np.argsort(name, kind="stable")
+        name, g = name[order], _groups(name[order])
+        more = np.diff(g, append=len(name)) + np.add.reduceat(twice[order], g) > 1 if len(g) else np.zeros(0, bool)
+        slab, slots = _slabs(np.unique(_slot(name[g][more])))
+        return pa.table({"slab": pa.array(slab, pa.int32()), "slots": pa.array(slots, pa.binary())})
+
+    common = _bitmap(docs.mapInArrow(send_names, "bucket int, names binary, twice binary").groupBy("bucket").applyInArrow(shared, "slab int, slots binary"))
 
     def send(batches):
         for rows, data, offs in text_chunks(batches, "text", CHUNK):
-            k, t = _keys(rows)
-            # copies within the chunk: all windows match the smallest one's
+            k, t, copy, lo, hi, row, name = kept_anchors(rows, data, offs)
             size = np.diff(offs)
-            order = np.lexsort((k, t, size))
-            g = _groups(size[order], t[order])
-            first = np.repeat(k[order][g], np.diff(g, append=len(order)))
-            copy = np.zeros(len(k), bool)
-            copy[order] = k[order] > first
-            out = [np.flatnonzero(copy & (size >= span))]
-            hits = [(k[out[0]], t[out[0]], np.zeros(len(out[0]), np.int64), size[out[0]] - span)]
-            a, lo, hi, row, name = anchors(data, offs, span)
-            keep = ~copy[row]
-            a, lo, hi, row, name = a[keep], lo[keep], hi[keep], row[keep], name[keep]
+            c = np.flatnonzero(copy & (size >= span))
+            hits = [(k[c], t[c], np.zeros(len(c), np.int64), size[c] - span)]
+            i = np.flatnonzero(_in(common, name & low))
+            lo, hi, row, name = lo[i], hi[i], row[i], name[i]
             whole = Spans(data).hash(lo, hi + span)
             # the same string again: only the smallest document's goes on
-            order = np.lexsort((k[row], whole, name))
-            g = _groups(name[order], whole[order])
-            later = np.zeros(len(a), bool)
-            later[order] = k[row][order] > np.repeat(k[row][order][g], np.diff(g, append=len(order)))
+            later = _first_of(mix(name * _STEP[1] + whole), k[row])
             i = np.flatnonzero(later)
             hits.append((k[row[i]], t[row[i]], lo[i] - offs[row[i]], hi[i] - offs[row[i]]))
             i = np.flatnonzero(~later)
-            bucket = ((name[i] >> U64(48)) % U64(buckets)).astype(np.int64)
-            yield _blobs(buckets, bucket, [name[i], whole[i]], row[i], lo[i] - offs[row[i]], [hi[i] - lo[i]], k, t)
-            k, t, lo, hi = (np.concatenate([h[j] for h in hits]) for j in range(4))
-            if len(k):
-                packed = _squeeze(k.astype("<i8"), t.astype("<i8"), lo.astype("<i4"), hi.astype("<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(k[0] % buckets)], pa.int32()), pa.array([len(k)], pa.int32()), pa.array([b""], pa.binary()), pa.array([packed], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "n", "hashes", "places", "ids"])
-
-    kinds = "kind int, " + _HIT + ", slots binary"
+            yield _blobs(buckets, ((name[i] >> U64(48)) % U64(buckets)).astype(np.int64), [name[i], whole[i]], row[i], lo[i] - offs[row[i]], [hi[i] - lo[i]], k, t)
+            hk, ht, hlo, hhi = (np.concatenate([h[j] for h in hits]) for j in range(4))
+            if len(hk):
+                packed = _squeeze(hk.astype("<i8"), ht.astype("<i4"), hlo.astype("<i4"), hhi.astype("<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(hk[0] % buckets)], pa.int32()), pa.array([len(hk)], pa.int32()), pa.array([b""], pa.binary()), pa.array([packed], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "n", "hashes", "places", "ids"])
 
     def rank(key, group):
         bucket = key[0].as_py()
-        empty = pa.array([], pa.int64())
-        if bucket < 0:
-            rows = []
+        if bucket < 0:  # settled where they were found
+            parts = []
             for n, packed in zip(group.column("n").to_pylist(), group.column("places").to_pylist(), strict=True):
                 raw = zstandard.ZstdDecompressor().decompress(packed)
-                rows.append((np.frombuffer(raw[: 8 * n], "<i8"), np.frombuffer(raw[8 * n : 16 * n], "<i8"), np.frombuffer(raw[16 * n : 20 * n], "<i4"), np.frombuffer(raw[20 * n :], "<i4")))
-            k, t, lo, hi = (np.concatenate([r[j] for r in rows]) for j in range(4))
-            return pa.table({"kind": pa.array(np.zeros(len(k), np.int32)), **dict(zip("k t lo hi".split(), _hits(k, t, lo, hi).columns, strict=True)), "slots": pa.nulls(len(k), pa.binary())})
-        name, whole, k, t, lo, more = _unpack(group, 2, 1)
-        order = np.lexsort((k, whole, name))
-        name, whole, k, t, lo, more = (x[order] for x in (name, whole, k, t, lo, more))
-        u, g = _groups(name, whole), _groups(name)
-        least = np.repeat(k[u], np.diff(u, append=len(k)))
-        hit = np.flatnonzero(k > least)
-        # names with several strings and several documents are ranked again, window by window
-        strings = np.add.reduceat(np.isin(np.arange(len(k)), u, assume_unique=True).astype(np.int64), g) if len(g) else g
-        apart = (np.minimum.reduceat(k, g) != np.maximum.reduceat(k, g)) if len(g) else np.zeros(0, bool)
-        open_names = name[g][(strings > 1) & apart]
-        slots = _slot(open_names)
-        out = {"kind": np.zeros(len(hit), np.int32), "k": k[hit], "t": t[hit], "lo": lo[hit].astype(np.int32), "hi": (lo[hit] + more[hit]).astype(np.int32)}
-        cols = [pa.array(v) for v in out.values()] + [pa.nulls(len(hit), pa.binary())]
-        slab = slots >> (FILTER_BITS - 8)
-        s = np.argsort(slab, kind="stable")
-        edges = np.searchsorted(slab[s], np.arange(257))
-        some = np.flatnonzero(np.diff(edges))
-        extra = [pa.array(np.full(len(some), 1, np.int32)), pa.array(some.astype(np.int64)), pa.array(np.zeros(len(some), np.int64)), pa.array(np.zeros(len(some), np.int32)), pa.array(np.zeros(len(some), np.int32)), pa.array([(slots[s[edges[x] : edges[x + 1]]] & ((1 << (FILTER_BITS - 8)) - 1)).astype("<i4").tobytes() for x in some], pa.binary())]
-        del empty
-        return pa.table([pa.concat_arrays([a, b]) for a, b in zip(cols, extra, strict=True)], names=["kind", "k", "t", "lo", "hi", "slots"])
-
-    ranked = table(docs.mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(rank, kinds), "anchor-ranks")
-    hits = ranked.filter("kind = 0").select("k", "t", "lo", "hi")
-    open_names = _bitmap(ranked.filter("kind = 1").select(F.col("k").cast("int").alias("slab"), "slots"))
+                parts.append((np.frombuffer(raw[: 8 * n], "<i8"), *(np.frombuffer(raw[(8 + 4 * j) * n : (12 + 4 * j) * n], "<i4") for j in range(3))))
+            hit = [np.concatenate([p[j] for p in parts]) for j in range(4)]
+            slab, slots = [], []
+        else:
+            name, whole, k, t, lo, more = _unpack(group, 2, 1)
+            order = np.lexsort((k, whole, name))
+            name, whole, k, t, lo, more = (x[order] for x in (name, whole, k, t, lo, more))
+            u, g = _groups(name, whole), _groups(name)
+            i = np.flatnonzero(k > np.repeat(k[u], np.diff(u, append=len(k))))
+            hit = [k[i], t[i], lo[i], lo[i] + more[i]]
+            # the first holders of each string, where the name has several strings and documents
+            apart = np.repeat(np.minimum.reduceat(k, g) != np.maximum.reduceat(k, g), np.diff(g, append=len(k))) if len(g) else np.zeros(0, bool)
+            several = np.repeat(np.diff(np.searchsorted(u, np.append(g, len(k)))) > 1, np.diff(g, append=len(k)))
+            f = u[(apart & several)[u]] if len(u) else u
+            slab, slots = _slabs(np.unique(_slot(_holder(name[f], whole[f], k[f]))))
+        n, m = len(hit[0]), len(slab)
+        pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind)])
+        return pa.table([pad(hit[0], pa.int64()), *(pad(x.astype(np.int32), pa.int32()) for x in hit[1:]), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(slab, pa.int32())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(slots, pa.binary())])], names=["k", "t", "lo", "hi", "slab", "slots"])
+
+    ranked = table(docs.mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(rank, _HIT + ", slab int, slots binary"), "anchor-ranks")
+    first = _bitmap(ranked.filter("slab is not null").select("slab", "slots"))
 
     def send_windows(batches):
         for rows, data, offs in text_chunks(batches, "text", CHUNK):
-            k, t = _keys(rows)
-            a, lo, hi, row, name = anchors(data, offs, span)
-            slot = _slot(name & U64((1 << 48) - 1))
-            i = np.flatnonzero(open_names[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            k, t, _, lo, hi, row, name = kept_anchors(rows, data, offs)
+            i = np.flatnonzero(_in(common, name & low))
+            lo, hi, row, name = lo[i], hi[i], row[i], name[i]
+            i = np.flatnonzero(_in(first, _holder(name, Spans(data).hash(lo, hi + span), k[row])))
             many = hi[i] - lo[i] + 1
             s = np.repeat(lo[i] - np.cumsum(many) + many, many) + np.arange(many.sum())
             r = np.repeat(row[i], many)
             h = Spans(data).hash(s, s + span)
-            yield _blobs(buckets, ((h >> U64(48)) % U64(buckets)).astype(np.int64), [h, h >> U64(16)], r, s - offs[r], [], k, t)
+            yield _blobs(buckets, ((h >> U64(48)) % U64(buckets)).astype(np.int64), [h], r, s - offs[r], [(h >> U64(48)) & U64(255), h >> U64(56)], k, t)
 
     def rank_windows(key, group):
-        h, h2, k, t, lo = _unpack(group, 2, 0)
-        order = np.lexsort((k, h2, h))
-        h, h2, k, t, lo = (x[order] for x in (h, h2, k, t, lo))
-        g = _groups(h, h2)
-        hit = np.flatnonzero(k > np.repeat(k[g], np.diff(g, append=len(k))))
-        return pa.Table.from_batches([_hits(k[hit], t[hit], lo[hit], lo[hit])])
+        h, k, t, lo, x, y = _unpack(group, 1, 2)
+        h |= (x.astype(U64) << U64(48)) | (y.astype(U64) << U64(56))
+        i = np.flatnonzero(_first_of(h, k))
+        i = i[np.lexsort((lo[i], t[i], k[i]))]
+        k, t, lo = k[i], t[i], lo[i]
+        # neighbouring starts make one run
+        new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (lo[1:] > lo[:-1] + 1)]) if len(k) else np.zeros(0, np.int64)
+        return pa.Table.from_batches([_hits(k[new], t[new], lo[new].astype(np.int32), lo[np.append(new[1:], len(k)) - 1].astype(np.int32) if len(k) else lo.astype(np.int32))])
+
+    windows = table(docs.mapInArrow(send_windows, _BLOB).groupBy("bucket").applyInArrow(rank_windows, _HIT), "window-ranks")
+    return [ranked.filter("k is not null").select("k", "t", "lo", "hi"), windows]
+
+
+def _slabs(slots: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Sorted slots of a filter, by slab."""
+    slab = slots >> (FILTER_BITS - 8)
+    edges = np.searchsorted(slab, np.arange(257))
+    some = np.flatnonzero(np.diff(edges))
+    return some.tolist(), [(slots[edges[x] : edges[x + 1]] & ((1 << (FILTER_BITS - 8)) - 1)).astype("<i4").tobytes() for x in some]
+
 
-    return hits.unionByName(docs.mapInArrow(send_windows, _BLOB).groupBy("bucket").applyInArrow(rank_windows, _HIT))
+def _in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = _slot(values)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter_of(values: DataFrame) -> np.ndarray:
+    """A fixed-size filter of a column of longs."""
+
+    def each(batches):
+        for b in batches:
+            slab, raw = _slabs(np.unique(_slot(b.column(0).to_numpy().astype(U64))))
+            yield pa.RecordBatch.from_arrays([pa.array(slab, pa.int32()), pa.array(raw, pa.binary())], names=["slab", "slots"])
+
+    return _bitmap(values.mapInArrow(each, "slab int, slots binary"))
 
 
 def _slot(name: np.ndarray) -> np.ndarray:
-    """Place of a name (its low 48 bits) in a filter of fixed size."""
-    return (mix(name & U64((1 << 48) - 1)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+    """Place of a value in a filter of fixed size."""
+    return (mix(name * U64(0x9FB21C651E98DF25)) >> U64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _bitmap(slots: DataFrame) -> np.ndarray:
@@ -264,19 +341,20 @@ def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str
     """Every row's id and other columns, with kept (remaining bytes), n_bytes, n_removed, n_spans (longest removed runs)."""
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.struct(*others).alias("_rest"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.struct(*others).alias("_rest"),
     )
-    found = table(duplicated(rows.select(F.col("_k").alias("k"), F.col("_t").alias("t"), F.col("_text").alias("text")), span), "repeated-runs")
+    rows = rows.withColumn("_t", F.shiftright("_h", 32).cast("int"))
+    parts = duplicated(rows.select(F.col("_k").alias("k"), F.col("_t").alias("t"), F.col("_h").alias("h"), F.col("_text").alias("text")), span)
+    found = parts[0].unionByName(parts[1])
     per_row = found.groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
-    touched = _bitmap(_touched(found))
+    touched = _filter_of(found.select("k"))
 
     def with_runs(batches):
         for b in batches:
-            slot = _slot(b.column(0).to_numpy().astype(U64))
-            yield b.append_column("_touched", pa.array((touched[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+            yield b.append_column("_touched", pa.array(_in(touched, b.column(0).to_numpy().astype(U64))))
 
-    kind = f"_k long, _t long, _text binary, _rest {rows.schema['_rest'].dataType.simpleString()}"
-    marked = rows.mapInArrow(with_runs, f"{kind}, _touched boolean")
+    kind = f"_k long, _t int, _text binary, _rest {rows.schema['_rest'].dataType.simpleString()}"
+    marked = rows.select("_k", "_t", "_text", "_rest").mapInArrow(with_runs, f"{kind}, _touched boolean")
     joined = marked.filter("_touched").join(per_row, (F.col("_k") == F.col("k")) & (F.col("_t") == F.col("t")), "left").select("_text", "_rest", F.col("_runs.lo").alias("lo"), F.col("_runs.hi").alias("hi"))
     # rows that the filter rules out have no runs and are not shuffled
     rest = marked.filter("not _touched").select("_text", "_rest", F.lit(None).cast("array<int>").alias("lo"), F.lit(None).cast("array<int>").alias("hi"))
@@ -301,17 +379,3 @@ def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str
     rest_kind = rows.schema["_rest"].dataType.simpleString()
     out = f"_rest {rest_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.unionByName(rest).mapInArrow(cut, out)
-
-
-def _touched(found: DataFrame) -> DataFrame:
-    """(slab, slots) of the ids of rows with runs."""
-
-    def each(batches):
-        for b in batches:
-            slot = np.unique(_slot(b.column(0).to_numpy().astype(U64)))
-            slab = slot >> (FILTER_BITS - 8)
-            edges = np.searchsorted(slab, np.arange(257))
-            some = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([(slot[edges[x] : edges[x + 1]] & ((1 << (FILTER_BITS - 8)) - 1)).astype("<i4").tobytes() for x in some], pa.binary())], names=["slab", "slots"])
-
-    return found.select("k").mapInArrow(each, "slab int, slots binary")
