@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import fingerprints, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
 from .common import crc_fold, documents
 
 
@@ -47,8 +47,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(documents(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir), crc_fold(mod=10) != 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_toxicity, op4_ngram_join, op5_packing, op6_fingerprints, op8_suffix_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_toxicity, op4_ngram_join, op5_packing, op6_fingerprints, op8_suffix_dedup, op9_quality_rules, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
