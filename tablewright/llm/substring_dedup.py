@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import _BYTES, U64, Spans, input_slices, mix, table, text_chunks
 
-NAME, CHUNK, FILTER_BITS = 24, 3 << 20, 27
+NAME, CHUNK, FILTER_BITS = 24, 1 << 20, 27
 _STEP = mix(np.arange(1, 9, dtype=U64)) | U64(1)
 
 
@@ -379,3 +379,20 @@ def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str
     rest_kind = rows.schema["_rest"].dataType.simpleString()
     out = f"_rest {rest_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.unionByName(rest).mapInArrow(cut, out)
+
+
+def without_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with repeated bytes cut from their texts; columns stay, n_chars follows the text if there is one.
+
+    Where a cut leaves part of a character, that part goes too.
+    """
+    found = dedup(docs, span, id_col, text_col)
+    rest = found.schema["_rest"].dataType.simpleString()
+
+    def decode(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], names=["_rest", "_text"])
+
+    texts = found.select("_rest", "kept").mapInArrow(decode, f"_rest {rest}, _text string")
+    columns = {c: F.col("_text") if c == text_col else F.length("_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("_rest")[c] for c in docs.columns}
+    return texts.select(*(v.alias(c) for c, v in columns.items()))
