@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, input_slices, mix, table, text_chunks, word_hashes
@@ -239,16 +239,16 @@ def verified(pairs: DataFrame, texts: DataFrame, info: DataFrame, n: int, percen
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", star: int = STAR, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, n_links (links of its class to other classes) of every document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text"))
-    buckets = 4 * input_slices(docs)
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    buckets = input_slices(docs)
 
     def measure(batches):
         for rows, data, offs in text_chunks(batches, "text"):
             row, token = shingles(data, offs, n)
             size, cls = _sizes(row, token, len(rows))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size.astype(np.int64)), pa.array(cls), pa.array([x.tobytes() for x in _sketches(row, token, len(rows))], pa.binary())], names=["k", "size", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(size.astype(np.int64)), pa.array(cls), pa.array([x.tobytes() for x in _sketches(row, token, len(rows))], pa.binary())], names=["k", "t", "size", "cls", "sketch"])
 
-    sets = table(texts.mapInArrow(measure, "k long, size long, cls long, sketch binary"), "set-sizes")
+    sets = table(texts.mapInArrow(measure, "k long, t long, size long, cls long, sketch binary"), "set-sizes")
     info = table(sets.filter("size > 0").groupBy("cls").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("k").alias("least")), "classes")
     often, top = frequent(texts, n, buckets), U64(int(ORDER_SHARE * (1 << 48)))
 
@@ -292,9 +292,31 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     by_class = labels.join(least, "root").join(degree, "cls", "left").select("cls", F.col("least").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sets.select("k", "size", "cls").join(by_class, "cls", "left")
-    own = F.when(F.col("k").isNotNull() & F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("k"))
-    return out.select(F.col("k").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("class_id", "k").alias("class_id"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = sets.select("k", "t", "size", "cls").join(by_class, "cls", "left")
+    return out.select(F.col("k").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("class_id", "k").alias("class_id"), F.coalesce("component_id", "k").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("t").alias("text_hash"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that have a smaller id, or an equal row, in their component; columns stay.
+
+    Only rows that a fixed-size filter holds to be such are shuffled, to be told for certain.
+    """
+    found = table(join(docs, n, percent, id_col, text_col).filter("n_shingles > 0"), "near-duplicates")
+    rows = found.groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("times"))
+    doubtful = rows.filter("not (doc_id <=> component_id) or times > 1")
+    held = _filter_of(doubtful.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("k")))
+
+    def mark(batches):
+        for b in batches:
+            yield b.append_column("_doubt", pa.array(_in(held, b.column(0).to_numpy().astype(U64))))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    marked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_k"), "*").mapInArrow(mark, f"_k long, {fields}, _doubt boolean")
+    sure = marked.filter("not _doubt").select(*docs.columns)
+    told = doubtful.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_k"), F.col("text_hash").alias("_t"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_stays"))
+    rest = marked.filter("_doubt").withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(told, ["_k", "_t"], "left").filter("_stays is null or _stays")
+    new = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_k"))
+    return sure.unionByName(rest.withColumn("_n", new).filter("_n = 1 or _stays is null").select(*docs.columns))
 
 
 def _across(wide: DataFrame, joined: DataFrame, info: DataFrame, percent: int, size: int) -> DataFrame:

@@ -217,3 +217,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     """doc_id, score, predicted of every document, learnt from labels (doc_id, label)."""
     stats = table(measure(docs, id_col, text_col), "quality-stats")
     return score(stats, fit(stats, labels)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose score reaches the threshold; columns stay, and no text is shuffled."""
+    stats = table(measure(docs, id_col, text_col), "quality-stats")
+    model = fit(stats, labels)
+
+    def each(batches):
+        for rows, data, offs in text_chunks(batches, text_col):
+            yield rows.filter(pa.array(model.score(statistics(data, offs)) >= threshold))
+
+    return docs.mapInArrow(each, docs.schema)

@@ -269,12 +269,27 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
 
     def each(batches):
         for rows, data, offs in text_chunks(batches):
-            if net.share is None:
-                a, b = net.curve
-                s = 1 / (1 + np.exp(-np.clip(a * log_odds(net, data, offs).astype(float) + b, -35, 35)))
-            else:
-                s = np.full(len(rows), net.share)
+            s = scores(net, data, offs)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, f"doc_id {kind}, score double, predicted int")
+
+
+def scores(net: Network, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Probability that each text of the buffer is toxic."""
+    if net.share is not None:
+        return np.full(len(offs) - 1, net.share)
+    a, b = net.curve
+    return 1 / (1 + np.exp(-np.clip(a * log_odds(net, data, offs).astype(float) + b, -35, 35)))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose score stays under the threshold; columns stay."""
+    net = fit(docs, labels, id_col=id_col, text_col=text_col)
+
+    def each(batches):
+        for rows, data, offs in text_chunks(batches, text_col):
+            yield rows.filter(pa.array(scores(net, data, offs) < threshold))
+
+    return docs.mapInArrow(each, docs.schema)

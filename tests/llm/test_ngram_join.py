@@ -72,7 +72,6 @@ def test_repeats_and_null_ids(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(3, text), (3, text), (None, text), (None, None), (9, text.upper())], "doc_id long, text string")
     got = g.join(df).collect()
-    print(got)
     assert len(got) == 5 and all(r.component_id == 3 for r in got if r.n_shingles and r.doc_id)
     assert [r.component_id for r in got if not r.n_shingles] == [None]
 
