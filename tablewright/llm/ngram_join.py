@@ -3,9 +3,10 @@
 A text's set holds its distinct `n`-word shingles, A-Z lower-cased, as 48-bit hashes. Documents of equal sets form
 a class; classes are joined, copies are not expanded into pairs.
 
-1. Order: one order of all shingles for all sets, those in many documents last. How often a shingle occurs is counted over
-   all documents, for the lowest ORDER_SHARE of hash values; a filter of fixed size marks the frequent ones. Any
-   order is right, this one keeps branches thin.
+1. Order: one order of all shingles for all sets: those of one document, those of a few, those not counted, those of many.
+   Occurrences are counted over all documents, for the lowest ORDER_SHARE of hash values; filters of fixed size mark what occurs
+   again, and often. Any order is right, this one keeps branches thin: a shingle that no filter marks although it was
+   counted is in one document only, and is not dealt out at all.
 2. Two sets as alike as the threshold share one of their first size - ceil(threshold * size) + 1 shingles. These
    prefixes are dealt out by shingle. Each task stores its part of every class's prefix in a
    trie and walks it: classes below a node share the path to it and are paired there once; a pair goes when
@@ -17,7 +18,7 @@ a class; classes are joined, copies are not expanded into pairs.
    near copies has none.
 
 A text with fewer words than `n` has one shingle, all its words; a text without words (or null) has none and links with nothing. A null id
-is a component of its own (null) unless it links. Rows that share an id go each by its own text. An empty table gives an empty result. Other columns play no part.
+counts as greater than all others. Rows that share an id go each by its own text. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, input_slices, mix, table, text_chunks, word_hashes
 from .components import components
-from .substring_dedup import _bitmap, _by_bucket, _filter_of, _in, _slabs, _slot
+from .substring_dedup import _bitmap, _by_bucket, _filter_of, _from_six, _in, _six, _slabs, _slot
 
+NO_ID = 2**63 - 1
 ORDER_SHARE, FREQUENT, STAR, SKETCH, BLOCK = 0.3, 50, 32, 64, 2048
 MASK = U64((1 << 48) - 1)
 _PLACE = mix(np.arange(11, 75, dtype=U64)) | U64(1)
@@ -88,29 +90,34 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def frequent(texts: DataFrame, n: int, buckets: int) -> np.ndarray:
-    """Filter of the shingles that more than FREQUENT documents hold, among the lowest ORDER_SHARE of hash values."""
+def frequent(texts: DataFrame, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filters of the shingles that two documents hold or more, and more than FREQUENT; for the lowest ORDER_SHARE of hash values.
+
+    Equal sets count once in a chunk of texts.
+    """
     top = U64(int(ORDER_SHARE * (1 << 48)))
 
     def count(batches):
         for _, data, offs in text_chunks(batches, "text"):
-            _, token = shingles(data, offs, n)
-            token, times = np.unique(token[token < top], return_counts=True)
+            row, token = shingles(data, offs, n)
+            _, cls = _sizes(row, token, len(offs) - 1)
+            only = np.zeros(len(cls), bool)
+            only[np.unique(cls, return_index=True)[1]] = True
+            token, times = np.unique(token[(token < top) & only[row]], return_counts=True)
             found = list(_by_bucket(((token >> U64(8)) % U64(buckets)).astype(np.int64), buckets))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([token[i].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for _, i in found], pa.binary()), pa.array([np.minimum(times[i], 255).astype(np.uint8).tobytes() for _, i in found], pa.binary())], names=["bucket", "tokens", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([_six(token[i]) for _, i in found], pa.binary()), pa.array([np.minimum(times[i], 255).astype(np.uint8).tobytes() for _, i in found], pa.binary())], names=["bucket", "tokens", "times"])
 
     def total(key, group):
-        raw = np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint8).reshape(-1, 6)
-        token = np.zeros((len(raw), 8), np.uint8)
-        token[:, :6] = raw
-        token, times = token.view("<u8").ravel(), np.frombuffer(b"".join(group.column("times").to_pylist()), np.uint8)
+        token, times = _from_six(b"".join(group.column("tokens").to_pylist())), np.frombuffer(b"".join(group.column("times").to_pylist()), np.uint8)
         order = np.argsort(token, kind="stable")
         token = token[order]
         g = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        slab, slots = _slabs(np.unique(_slot(token[g][np.add.reduceat(times[order].astype(np.int64), g) > FREQUENT].astype(U64))))
-        return pa.table({"slab": pa.array(slab, pa.int32()), "slots": pa.array(slots, pa.binary())})
+        n_docs = np.add.reduceat(times[order].astype(np.int64), g)
+        parts = [_slabs(np.unique(_slot(token[g][n_docs > most]))) for most in (1, FREQUENT)]
+        return pa.table({"level": pa.array([k for k, p in enumerate(parts) for _ in p[0]], pa.int32()), "slab": pa.array([x for p in parts for x in p[0]], pa.int32()), "slots": pa.array([x for p in parts for x in p[1]], pa.binary())})
 
-    return _bitmap(texts.mapInArrow(count, "bucket int, tokens binary, times binary").groupBy("bucket").applyInArrow(total, "slab int, slots binary"))
+    found = table(texts.mapInArrow(count, "bucket int, tokens binary, times binary").groupBy("bucket").applyInArrow(total, "level int, slab int, slots binary"), "shingle-counts")
+    return tuple(_bitmap(found.filter(F.col("level") == k).select("slab", "slots")) for k in (0, 1))
 
 
 class Node:
@@ -196,50 +203,49 @@ _PAIR = "a long, b long"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, info: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a < b, classes) whose sets reach the threshold. info: cls, size, sketch."""
-    i = info.select("cls", "size", "sketch")
-    both = pairs.join(i.toDF("a", "na", "sa"), "a").join(i.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    """The pairs (a < b, classes) whose sets reach the threshold. info: cls, size, sketch, least (a document of the class)."""
+    i = info.select("cls", "least", "size", "sketch")
+    both = pairs.join(i.toDF("a", "ka", "na", "sa"), "a").join(i.toDF("b", "kb", "nb", "sb"), "b").select("a", "b", "ka", "kb", "na", "nb", "sa", "sb")
 
     def near(batches):
         for x in batches:
             if not len(x):
                 continue
-            na, nb = x.column(2).to_numpy(), x.column(3).to_numpy()
-            sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(len(x), SKETCH).astype(np.int32) for c in (4, 5))
+            na, nb = x.column(4).to_numpy(), x.column(5).to_numpy()
+            sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(len(x), SKETCH).astype(np.int32) for c in (6, 7))
             ok = np.abs(sa - sb).sum(1) <= na + nb - 2 * least_overlap(na, nb, percent)
-            yield x.select(["a", "b"]).filter(pa.array(ok))
+            yield x.select(["a", "b", "ka", "kb"]).filter(pa.array(ok))
 
-    close = table(both.mapInArrow(near, _PAIR), "close-pairs")
-    wanted = _filter_of(close.select("a").unionByName(close.select(F.col("b").alias("a"))))
+    close = table(both.mapInArrow(near, "a long, b long, ka long, kb long"), "close-pairs")
+    wanted = _filter_of(close.select(F.explode(F.array(F.expr("a ^ ka"), F.expr("b ^ kb")))))
 
     def sets(batches):
-        for _, data, offs in text_chunks(batches, "text"):
+        for rows, data, offs in text_chunks(batches, "text"):
             row, token = shingles(data, offs, n)
             size, cls = _sizes(row, token, len(offs) - 1)
-            edge = np.r_[0, np.cumsum(size)]
-            keep = np.flatnonzero(_in(wanted, cls.view(U64)) & (size > 0))
-            _, first = np.unique(cls[keep], return_index=True)
-            keep = keep[first]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array([token[edge[k] : edge[k + 1]].astype("<u8").tobytes() for k in keep], pa.binary())], names=["cls", "tokens"])
+            edge, k = np.r_[0, np.cumsum(size)], rows.column(0).to_numpy()
+            keep = np.flatnonzero(_in(wanted, (cls ^ k).view(U64)) & (size > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(k[keep]), pa.array([_six(token[edge[x] : edge[x + 1]]) for x in keep], pa.binary())], names=["cls", "k", "tokens"])
 
-    one = table(texts.mapInArrow(sets, "cls long, tokens binary").dropDuplicates(["cls"]), "class-sets")
+    one = texts.mapInArrow(sets, "cls long, k long, tokens binary")
 
     def compare(batches):
         for x in batches:
             ok = []
             for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
-                both = len(np.intersect1d(s, t, assume_unique=True))
+                s, t = _from_six(s), _from_six(t)
+                both = np.sort(np.concatenate([s, t]))
+                both = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    found = close.join(one.toDF("a", "ta"), "a").join(one.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return table(found.mapInArrow(compare, _PAIR), "links")
+    found = close.join(one.toDF("a", "ka", "ta"), ["a", "ka"]).join(one.toDF("b", "kb", "tb"), ["b", "kb"]).select("a", "b", "ta", "tb")
+    return table(found.mapInArrow(compare, _PAIR).distinct(), "links")
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", star: int = STAR, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, n_links (links of its class to other classes) of every document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     buckets = input_slices(docs)
 
     def measure(batches):
@@ -250,7 +256,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
 
     sets = table(texts.mapInArrow(measure, "k long, t long, size long, cls long, sketch binary"), "set-sizes")
     info = table(sets.filter("size > 0").groupBy("cls").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("k").alias("least")), "classes")
-    often, top = frequent(texts, n, buckets), U64(int(ORDER_SHARE * (1 << 48)))
+    (again, often), top = frequent(texts, n, buckets), U64(int(ORDER_SHARE * (1 << 48)))
 
     def prefixes(batches):
         for _, data, offs in text_chunks(batches, "text"):
@@ -261,12 +267,12 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
             only[first] = True
             keep = only[row]
             row, token = row[keep], token[keep]
-            last = (token < top) & _in(often, token)
-            key = np.sort((row.astype(U64) << U64(49)) | (last.astype(U64) << U64(48)) | token)
-            row, token = (key >> U64(49)).astype(np.int64), key & MASK
+            rank = np.where(token < top, np.where(_in(often, token), 3, _in(again, token)), 2)
+            key = np.sort((row.astype(U64) << U64(50)) | (rank.astype(U64) << U64(48)) | token)
+            row, rank, token = (key >> U64(50)).astype(np.int64), (key >> U64(48)) & U64(3), key & MASK
             kept = np.where(only, size, 0)
             pos = np.arange(len(row)) - (np.cumsum(kept) - kept)[row]
-            i = np.flatnonzero(pos < size[row] - least_size(size[row], percent) + 1)
+            i = np.flatnonzero((pos < size[row] - least_size(size[row], percent) + 1) & (rank > 0))
             row, token, pos = row[i], token[i], pos[i]
             found = list(_by_bucket(((token >> U64(8)) % U64(buckets)).astype(np.int64), buckets))
             packed = [np.rec.fromarrays([token[j].astype("<u8"), cls[row[j]], size[row[j]].astype("<i4"), pos[j].astype("<i4")]).tobytes() for _, j in found]
@@ -293,7 +299,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     by_class = labels.join(least, "root").join(degree, "cls", "left").select("cls", F.col("least").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sets.select("k", "t", "size", "cls").join(by_class, "cls", "left")
-    return out.select(F.col("k").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("class_id", "k").alias("class_id"), F.coalesce("component_id", "k").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("t").alias("text_hash"))
+    ids = {name: F.nullif(F.coalesce(c, "k"), F.lit(NO_ID)).alias(name) for name, c in (("doc_id", "k"), ("class_id", "class_id"), ("component_id", "component_id"))}
+    return out.select(ids["doc_id"], F.col("size").alias("n_shingles"), ids["class_id"], ids["component_id"], F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("t").alias("text_hash"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
