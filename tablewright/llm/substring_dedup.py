@@ -31,23 +31,25 @@ from pyspark.sql import functions as F
 
 from .common import _BYTES, U64, Spans, input_slices, mix, table, text_chunks
 
-NAME, CHUNK, FILTER_BITS = 24, 1 << 20, 27
+NAME, CHUNK, FILTER_BITS = 24, 1 << 19, 27
 _STEP = mix(np.arange(1, 9, dtype=U64)) | U64(1)
 
 
 def names(data: np.ndarray, size: int = NAME) -> np.ndarray:
     """Names of the `size`-byte strings at every position but the last ones, by doubling; the last step overlaps less than it could."""
-    levels, n = {1: _BYTES[data]}, 1
-    while 2 * n <= size:
-        h = levels[n]
-        levels[2 * n] = h[: max(len(h) - n, 0)] * _STEP[n.bit_length()] + h[n:]
+    more = size - (1 << (size.bit_length() - 1))
+    width = 1 << (more - 1).bit_length() if more else 0  # of the name that covers the rest
+    h, n, part = _BYTES[data], 1, None
+    while True:
+        if n == width:
+            part = h
+        if 2 * n > size:
+            break
+        h = h[: max(len(h) - n, 0)] * _STEP[n.bit_length()] + h[n:]
         n *= 2
-    h = levels[n]
-    if n < size:
-        more = size - n
-        part = levels[1 << (more - 1).bit_length()]  # covers the rest, overlapping what is named already
-        width = 1 << (more - 1).bit_length()
-        h = h[: max(len(data) - size + 1, 0)] * _STEP[7] + part[size - width :][: max(len(data) - size + 1, 0)]
+    if more:
+        last = max(len(data) - size + 1, 0)
+        h = h[:last] * _STEP[7] + part[size - width :][:last]
     return mix(h)
 
 
@@ -360,7 +362,7 @@ def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str
     rest = marked.filter("not _touched").select("_text", "_rest", F.lit(None).cast("array<int>").alias("lo"), F.lit(None).cast("array<int>").alias("hi"))
 
     def cut(batches):
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
             kept, removed, runs, sha = [], [], [], []
             for text, lo, hi in zip(b.column(0), b.column(2), b.column(3), strict=True):
                 text = text.as_py()
