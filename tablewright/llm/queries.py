@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import fingerprints, licenses, lm_scoring, ngram_join, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity
 from .common import crc_fold, documents
 
 
@@ -21,6 +21,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(documents(spark, sf_dir), pieces.model_path())
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.classify(documents(spark, sf_dir), labelled(spark, sf_dir, "toxic"), threshold=0.5)
     return found.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", "predicted")
@@ -38,6 +42,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(documents(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), span=50)
     return found.select("_rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -52,7 +60,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_toxicity, op4_ngram_join, op5_packing, op6_fingerprints, op8_suffix_dedup, op9_quality_rules, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_pieces, op3_toxicity, op4_ngram_join, op5_packing, op6_fingerprints, op7_licenses, op8_suffix_dedup, op9_quality_rules, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
