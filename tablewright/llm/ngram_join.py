@@ -11,8 +11,8 @@ a class; classes are joined, copies are not expanded into pairs.
    prefixes are dealt out by shingle. Each task stores its part of every class's prefix in a
    trie and walks it: classes below a node share the path to it and are paired there once; a pair goes when
    sizes, or what can still match behind the node, are too small.
-3. Pairs pass a sketch (counts of shingles by hash value: their differences bound the sets' difference from below, so
-   nothing is lost), then the whole sets are compared.
+3. Pairs pass a sketch (about as many counts of shingles by hash value as the set has shingles: their differences bound the
+   sets' difference from below, so nothing is lost), then the whole sets are compared.
 4. Branches of more than STAR classes are first linked through their least class, which is linear in the branch. After
    components are known, only their pairs of different components are left, and those are compared in blocks; a branch of
    near copies has none.
@@ -33,7 +33,7 @@ from .components import components
 from .substring_dedup import _bitmap, _by_bucket, _filter_of, _from_six, _in, _six, _slabs, _slot
 
 NO_ID = 2**63 - 1
-ORDER_SHARE, FREQUENT, STAR, SKETCH, BLOCK = 0.3, 50, 32, 64, 2048
+ORDER_SHARE, FREQUENT, STAR, SKETCH, BLOCK = 0.3, 50, 32, (64, 4096), 1024
 MASK = U64((1 << 48) - 1)
 _PLACE = mix(np.arange(11, 75, dtype=U64)) | U64(1)
 
@@ -76,9 +76,30 @@ def _sizes(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return size, mix(a + size.astype(U64) * _PLACE[62]).view(np.int64)
 
 
-def _sketches(row: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
-    counts = np.bincount(row * SKETCH + (token & U64(SKETCH - 1)).astype(np.int64), minlength=rows * SKETCH).reshape(rows, SKETCH)
-    return np.minimum(counts, 255).astype(np.uint8)
+def _sketches(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Counts (up to 255) of each set's shingles by their low bits, about as many counts as shingles: a power of two within SKETCH."""
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), *SKETCH)
+    end = np.cumsum(width)
+    at = (end - width)[row] + (token.astype(np.int64) & (width[row] - 1))
+    counts = np.minimum(np.bincount(at, minlength=int(end[-1]) if len(end) else 0), 255).astype(np.uint8)
+    return [counts[e - w : e].tobytes() for e, w in zip(end.tolist(), width.tolist(), strict=True)]
+
+
+def fold(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows) at a smaller width: the counts of a set at low bits only. Full counts are unknown, so they stay full."""
+    full = x >= 255
+    while x.shape[-1] > width:
+        half = x.shape[-1] // 2
+        full = full[..., :half] | full[..., half:]
+        x = x[..., :half] + x[..., half:]
+    return np.where(full, 255, np.minimum(x, 255)).astype(np.int16)
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """At least as many shingles as this are in one of the sets only."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
+    w = min(len(x), len(y))
+    return int(np.abs(fold(x, w) - fold(y, w)).sum())
 
 
 def least_size(size: np.ndarray, percent: int) -> np.ndarray:
@@ -166,17 +187,14 @@ def trie_pairs(token: np.ndarray, cls: np.ndarray, size: np.ndarray, pos: np.nda
         if total > star:
             every = np.array([i for _, x in nodes for i in x.members])
             stars.append(every)
-            # the least class of each size range, as sizes further apart never link
-            by = every[np.lexsort((cls[every], size[every]))]
-            hubs, k = [], 0
-            while k < len(by):
-                hub = by[k]
-                end = np.searchsorted(size[by], size[hub] * 100 // percent, "right")
-                hubs.append((np.full(end - k - 1, hub), by[k + 1 : end]))
-                k = max(end, k + 1)
-            for i, j in hubs:
-                if len(j):
-                    link(i, j)
+            # sizes of a band all fit together; the least class of a band is linked to the others, and to those of the next bands
+            band = np.floor(np.log(size[every]) / np.log(100 / percent) + 1e-9).astype(np.int64)
+            order = np.lexsort((cls[every], band))
+            by, band = every[order], band[order]
+            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            hub = np.repeat(by[starts], np.diff(starts, append=len(by)))
+            link(hub, by)
+            link(by[starts[:-1]], by[starts[1:]])
             continue
         done: list[int] = []
         for depth, x in nodes:
@@ -212,8 +230,8 @@ def verified(pairs: DataFrame, texts: DataFrame, info: DataFrame, n: int, percen
             if not len(x):
                 continue
             na, nb = x.column(4).to_numpy(), x.column(5).to_numpy()
-            sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(len(x), SKETCH).astype(np.int32) for c in (6, 7))
-            ok = np.abs(sa - sb).sum(1) <= na + nb - 2 * least_overlap(na, nb, percent)
+            apart = np.array([_apart(a, b) for a, b in zip(x.column(6).to_pylist(), x.column(7).to_pylist(), strict=True)])
+            ok = apart <= na + nb - 2 * least_overlap(na, nb, percent)
             yield x.select(["a", "b", "ka", "kb"]).filter(pa.array(ok))
 
     close = table(both.mapInArrow(near, "a long, b long, ka long, kb long"), "close-pairs")
@@ -252,7 +270,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
         for rows, data, offs in text_chunks(batches, "text"):
             row, token = shingles(data, offs, n)
             size, cls = _sizes(row, token, len(rows))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(size.astype(np.int64)), pa.array(cls), pa.array([x.tobytes() for x in _sketches(row, token, len(rows))], pa.binary())], names=["k", "t", "size", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(size.astype(np.int64)), pa.array(cls), pa.array(_sketches(row, token, size), pa.binary())], names=["k", "t", "size", "cls", "sketch"])
 
     sets = table(texts.mapInArrow(measure, "k long, t long, size long, cls long, sketch binary"), "set-sizes")
     info = table(sets.filter("size > 0").groupBy("cls").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("k").alias("least")), "classes")
@@ -339,7 +357,14 @@ def _across(wide: DataFrame, joined: DataFrame, info: DataFrame, percent: int, s
     def meet(key, group):
         i, j = key[1].as_py(), key[2].as_py()
         block, cls, n, pos, root = (group.column(c).to_numpy() for c in ("block", "cls", "size", "pos", "root"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        raw = group.column("sketch").to_pylist()
+        width = np.array([len(x) for x in raw])
+        levels = {}  # width: sketches at it, and where each class of that width or more is
+        for w in np.unique(width):
+            rows = np.flatnonzero(width >= w)
+            at = np.full(len(raw), -1)
+            at[rows] = np.arange(len(rows))
+            levels[int(w)] = (np.array([fold(np.frombuffer(raw[r], np.uint8).astype(np.int32), int(w)) for r in rows], np.int16), at)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
@@ -347,9 +372,16 @@ def _across(wide: DataFrame, joined: DataFrame, info: DataFrame, percent: int, s
             if i == j:
                 y = y[cls[y] > cls[x]]
             y = y[_fits(n[x], n[y], pos[x], pos[y], percent)]
-            y = y[np.abs(sketch[y] - sketch[x]).sum(1) <= n[x] + n[y] - 2 * least_overlap(n[x], n[y], percent)]
-            a.append(np.minimum(cls[x], cls[y]))
-            b.append(np.maximum(cls[x], cls[y]))
-        return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
+            common = np.minimum(width[y], width[x])
+            for w in np.unique(common):
+                sketch, at = levels[int(w)]
+                z = y[common == w]
+                for lo in range(0, len(z), 256):
+                    v = z[lo : lo + 256]
+                    v = v[np.abs(sketch[at[v]] - sketch[at[x]]).sum(1) <= n[x] + n[v] - 2 * least_overlap(n[x], n[v], percent)]
+                    a.append(np.minimum(cls[x], cls[v]))
+                    b.append(np.maximum(cls[x], cls[v]))
+        pair = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0) if a else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
 
     return table(spread.groupBy("token", "i", "j").applyInArrow(meet, _PAIR).distinct(), "pairs-across")
