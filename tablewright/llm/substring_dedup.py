@@ -339,8 +339,8 @@ def _merge(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[new, 0].tolist(), reach[np.append(new[1:], len(spans)) - 1].tolist(), strict=True))
 
 
-def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's id and other columns, with kept (remaining bytes), n_bytes, n_removed, n_spans (longest removed runs)."""
+def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """Every row's id and other columns (_rest), with kept (remaining bytes; whole characters of them if as_text), n_bytes, n_removed, n_spans (longest removed runs)."""
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.struct(*others).alias("_rest"),
@@ -351,19 +351,25 @@ def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str
     per_row = found.groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
     touched = _filter_of(found.select("k"))
 
+    rest_kind = rows.schema["_rest"].dataType.simpleString()
+
     def with_runs(batches):
         for b in batches:
-            yield b.append_column("_touched", pa.array(_in(touched, b.column(0).to_numpy().astype(U64))))
+            yield b.filter(pa.array(_in(touched, b.column(0).to_numpy().astype(U64))))
 
-    kind = f"_k long, _t int, _text binary, _rest {rows.schema['_rest'].dataType.simpleString()}"
-    marked = rows.select("_k", "_t", "_text", "_rest").mapInArrow(with_runs, f"{kind}, _touched boolean")
-    joined = marked.filter("_touched").join(per_row, (F.col("_k") == F.col("k")) & (F.col("_t") == F.col("t")), "left").select("_text", "_rest", F.col("_runs.lo").alias("lo"), F.col("_runs.hi").alias("hi"))
-    # rows that the filter rules out have no runs and are not shuffled
-    rest = marked.filter("not _touched").select("_text", "_rest", F.lit(None).cast("array<int>").alias("lo"), F.lit(None).cast("array<int>").alias("hi"))
+    part = rows.select("_k", "_t", "_text", "_rest")
+    joined = part.mapInArrow(with_runs, f"_k long, _t int, _text binary, _rest {rest_kind}").join(per_row, (F.col("_k") == F.col("k")) & (F.col("_t") == F.col("t")), "left").select("_text", "_rest", F.col("_runs.lo").alias("lo"), F.col("_runs.hi").alias("hi"))
+
+    def without_runs(batches):
+        """Rows that the filter rules out have no runs and are not shuffled."""
+        for b in batches:
+            x = b.filter(pa.array(~_in(touched, b.column(0).to_numpy().astype(U64))))
+            none = pa.nulls(len(x), pa.list_(pa.int32()))
+            yield from cut([pa.RecordBatch.from_arrays([x.column(2), x.column(3), none, none], names=["_text", "_rest", "lo", "hi"])])
 
     def cut(batches):
         for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
-            kept, removed, runs, sha = [], [], [], []
+            kept, size, removed, runs, sha = [], [], [], [], []
             for text, lo, hi in zip(b.column(0), b.column(2), b.column(3), strict=True):
                 text = text.as_py()
                 spans = _merge(np.column_stack([lo.values.to_numpy(), hi.values.to_numpy() + span]).astype(np.int64)) if lo.is_valid and len(lo) else []
@@ -372,15 +378,17 @@ def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str
                     parts.append(text[at:x])
                     at = y
                 parts.append(text[at:])
-                kept.append(b"".join(parts))
-                removed.append(len(text) - len(kept[-1]))
+                left = b"".join(parts)
+                removed.append(len(text) - len(left))
+                size.append(len(text))
                 runs.append(len(spans))
-                sha.append(hashlib.sha256(kept[-1]).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())], names=["_rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                sha.append(hashlib.sha256(left).hexdigest())
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string() if as_text else pa.binary())], names=["_rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rest_kind = rows.schema["_rest"].dataType.simpleString()
-    out = f"_rest {rest_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.unionByName(rest).mapInArrow(cut, out)
+    out = f"_rest {rest_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}"
+    # one Python worker a task: the two branches are stages of their own
+    return joined.mapInArrow(cut, out).unionByName(part.mapInArrow(without_runs, out))
 
 
 def without_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,13 +396,6 @@ def without_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", tex
 
     Where a cut leaves part of a character, that part goes too.
     """
-    found = dedup(docs, span, id_col, text_col)
-    rest = found.schema["_rest"].dataType.simpleString()
-
-    def decode(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], names=["_rest", "_text"])
-
-    texts = found.select("_rest", "kept").mapInArrow(decode, f"_rest {rest}, _text string")
-    columns = {c: F.col("_text") if c == text_col else F.length("_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("_rest")[c] for c in docs.columns}
-    return texts.select(*(v.alias(c) for c, v in columns.items()))
+    found = dedup(docs, span, id_col, text_col, as_text=True)
+    columns = {c: F.col("kept") if c == text_col else F.length("kept").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("_rest")[c] for c in docs.columns}
+    return found.select(*(v.alias(c) for c, v in columns.items()))
