@@ -1,15 +1,22 @@
-"""Registry of the engine's queries and their DuckDB oracles."""
+"""All queries of the engine's own operators."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def entry(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").groupBy("l_returnflag").count()
+from .plans import aggregate_queries, ensemble_queries, metric_queries, model_queries, preprocess_queries, relational_queries, validation_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = "metric_all_binary"
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    return QUERIES[FLAGSHIP](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return ORACLES
