@@ -3,7 +3,8 @@
 A text is marked ("▁" before it and for each space) and cut into marked words, which no piece spans. The distinct words of
 a chunk are sorted, so that they lie in the order of a depth-first walk of their trie: a word takes over the forward
 scores of the prefix that it shares with the word before it, and only the rest is scored. The best way to a position is the
-largest sum of piece scores; of equal ones the one with the longest last piece. Characters outside the vocabulary become their byte pieces.
+largest sum of piece scores; of equal ones the one with the longest last piece. A file of merged pieces scores them by merge
+rank, which says nothing of probability: -log(100 + rank) stands for it there. Characters outside the vocabulary become their byte pieces.
 
 The model file is only read, never trained. Decoding gives back the text, where it holds no "▁" of its own. Null text: empty, no pieces.
 Null ids, ties and repeated rows are encoded like others; an empty table gives an empty result.
@@ -11,6 +12,7 @@ Null ids, ties and repeated rows are encoded like others; an empty table gives a
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -30,6 +32,11 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def _by_rank(rank: float) -> float:
+    """Log probability of a piece by its merge rank, up to a constant: Zipf and Mandelbrot's law."""
+    return -math.log(100 + rank) if rank < 1e8 else -30.0
+
+
 class Codec:
     def __init__(self, path: str):
         import sentencepiece
@@ -37,7 +44,9 @@ class Codec:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         plain = [i for i in range(len(self.pieces)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.score = {self.pieces[i]: (sp.get_score(i), i) for i in plain}
+        raw = {i: sp.get_score(i) for i in plain}
+        ranked = all(v == int(v) for v in raw.values())  # merge ranks, not log probabilities
+        self.score = {self.pieces[i]: (_by_rank(-v) if ranked else v, i) for i, v in raw.items()}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.control = {i for i in range(len(self.pieces)) if sp.is_control(i) or sp.is_unknown(i)}
