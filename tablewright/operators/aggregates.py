@@ -61,10 +61,10 @@ def biweight(df: DataFrame, keys: Sequence[str], a: str, b: str, c: float = 9.0)
     """Biweight midcorrelation: weights (1 - u^2)^2 from distances to the median in units of c MAD."""
     for col in (a, b):
         med = stats.hazen(df, keys, col, [0.5]).select(*keys, F.col("q").alias(f"_m_{col}"))
-        df = df.join(F.broadcast(med), list(keys)) if keys else df.join(F.broadcast(med), F.lit(True))  # a row for each group
+        df = df.join(med, list(keys)) if keys else df.join(F.broadcast(med), F.lit(True))  # one row without keys
         df = df.withColumn(f"_d_{col}", F.abs(F.col(col) - F.col(f"_m_{col}")))
         mad = stats.hazen(df, keys, f"_d_{col}", [0.5]).select(*keys, F.col("q").alias(f"_s_{col}"))
-        df = df.join(F.broadcast(mad), list(keys)) if keys else df.join(F.broadcast(mad), F.lit(True))
+        df = df.join(mad, list(keys)) if keys else df.join(F.broadcast(mad), F.lit(True))
     z = {}
     for col in (a, b):
         x = F.col(col) - F.col(f"_m_{col}")

@@ -68,7 +68,7 @@ def class_map(df: DataFrame, label: str) -> DataFrame:
 
 def apply_class_map(df: DataFrame, label: str, known: DataFrame) -> DataFrame:
     """class_id of the training map; `unseen` marks labels that it lacks. No class is ever added."""
-    return df.join(F.broadcast(known), label, "left").withColumn("unseen", F.col(label).isNotNull() & F.col("class_id").isNull())
+    return df.join(known, label, "left").withColumn("unseen", F.col(label).isNotNull() & F.col("class_id").isNull())
 
 
 def id_match(source: DataFrame, target: DataFrame, key: str, act: str = "intersect", order: str | None = None) -> DataFrame:
