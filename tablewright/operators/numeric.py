@@ -23,11 +23,12 @@ def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     return out
 
 
-def gower(df: DataFrame, key: str, numbers: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """Mean similarity of each pair of a small case set: 1 - |difference| / range, or equality; missing parts are skipped."""
+def gower(df: DataFrame, key: str, numbers: Sequence[str], kinds: Sequence[str], queries: DataFrame | None = None) -> DataFrame:
+    """Mean similarity of each pair of a small case set, or of each query with all other rows: 1 - |difference| / range over all rows, or equality; missing parts are skipped."""
     r = df.agg(*(F.max(c).alias(f"_hi_{c}") for c in numbers), *(F.min(c).alias(f"_lo_{c}") for c in numbers))
     b = df.select(*(F.col(c).alias(f"_b_{c}") for c in df.columns))
-    j = df.join(b, F.col(key) < F.col(f"_b_{key}")).join(F.broadcast(r), F.lit(True))
+    pairs = df.join(b, F.col(key) < F.col(f"_b_{key}")) if queries is None else b.join(F.broadcast(queries.select(*df.columns)), F.col(key) != F.col(f"_b_{key}"))
+    j = pairs.join(F.broadcast(r), F.lit(True))
     parts = [1 - F.abs(F.col(c) - F.col(f"_b_{c}")) / F.nullif((F.col(f"_hi_{c}") - F.col(f"_lo_{c}")).cast("double"), F.lit(0.0)) for c in numbers] + [(F.col(c) == F.col(f"_b_{c}")).cast("double") for c in kinds]
     total, n = sum(F.coalesce(p, F.lit(0.0)) for p in parts), sum(p.isNotNull().cast("int") for p in parts)
     return j.select(F.col(key).alias("i"), F.col(f"_b_{key}").alias("j"), F.round(total / n, 9).alias("s"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import special
-from .neighbours import _metric
+from .neighbours import numbered, search
 
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str, penalties: Sequence[float], mixes: Sequence[float], folds: int = 3) -> DataFrame:
@@ -69,13 +69,18 @@ def copula(df: DataFrame, columns: Sequence[str], n: int, seed: int = 0, sample:
     return df.sparkSession.createDataFrame(pd.DataFrame(new, columns=list(columns)))
 
 
-def between_neighbours(df: DataFrame, columns: Sequence[str], n: int, k: int = 5, metric: str = "euclidean", seed: int = 0, sample: int = 3000) -> DataFrame:
-    """New cases on the way from a case to one of its k nearest, among at most `sample` rows by hash."""
-    x = np.array(df.select(*columns).dropna().orderBy(F.xxhash64(F.lit(seed), *columns)).limit(sample).collect(), float)
+def between_neighbours(df: DataFrame, columns: Sequence[str], n: int, k: int = 5, metric: str = "euclidean", seed: int = 0) -> DataFrame:
+    """New cases on the way from a case to one of its k nearest, both among all complete rows; at most QUERY_LIMIT cases are started from."""
+    rows, cols = numbered(df.select(*columns)), list(columns)
+    p = rows.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols))).first()
     r = np.random.default_rng(seed)
-    z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
-    out = []
-    for i in r.integers(0, len(x), n):
-        near = np.argsort(_metric(z[i : i + 1], z, metric)[0], kind="stable")[1 : k + 1]
-        out.append(x[i] + r.random() * (x[r.choice(near)] - x[i]))
-    return df.sparkSession.createDataFrame(pd.DataFrame(np.array(out), columns=list(columns)))
+    start = r.integers(0, p["n"], n).tolist()
+    z = rows.select("_id", F.array(*((F.col(c) - float(p[f"m{i}"])) / max(float(p[f"s{i}"]), 1e-12) for i, c in enumerate(cols))).alias("_z"))
+    picked = df.sparkSession.createDataFrame([(i,) for i in sorted(set(start))], "_id long")
+    near = search(z, z.join(F.broadcast(picked), "_id", "left_semi"), "_id", "_z", k, metric).select("q", "d", F.col("b").alias("_id"))
+    found: dict[int, list] = {}
+    for x in near.join(rows, "_id").orderBy("q", "d", "_id").collect():
+        found.setdefault(x["q"], []).append(np.array([x[c] for c in cols], float))
+    own = {x["_id"]: np.array([x[c] for c in cols], float) for x in rows.join(F.broadcast(picked), "_id", "left_semi").collect()}
+    out = [own[i] + r.random() * (found[i][r.integers(len(found[i]))] - own[i]) for i in start]
+    return df.sparkSession.createDataFrame(pd.DataFrame(np.array(out), columns=cols))

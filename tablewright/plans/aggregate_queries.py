@@ -75,7 +75,7 @@ q("similarity_pearson", f"SELECT i, round((64*{_D.format('a', 'b')}-list_sum(a)*
 q("similarity_total_kl", """SELECT i, round(list_sum([p[k]*ln(p[k]/r[k]) for k in range(1,65)])/sqrt(1+list_sum([x*pow(1+ln(x),2) for x in r])),5) AS s FROM (SELECT i, [exp(x)/list_sum([exp(y) for y in a]) for x in a] AS p, [exp(x)/list_sum([exp(y) for y in b]) for x in b] AS r FROM """ + _PAIR + ")")(
     lambda t: pairs(t).select("i", F.round(vectors.total_kl(F.transform("a", lambda x: F.exp(x.cast("double"))), F.transform("b", lambda x: F.exp(x.cast("double")))), 5).alias("s"))
 )
-q("similarity_gower")(lambda t: numeric.gower(t("part").filter("p_partkey < 60").select("p_partkey", "p_size", "p_retailprice", "p_brand"), "p_partkey", ["p_size", "p_retailprice"], ["p_brand"]))
+q("similarity_gower")(lambda t: (lambda d: numeric.gower(d, "p_partkey", ["p_size", "p_retailprice"], ["p_brand"], d.filter("p_partkey % 50 = 0")))(t("part").select("p_partkey", "p_size", "p_retailprice", "p_brand")))
 for _n in ("bhattacharyya", "kl_similarity", "mahalanobis", "randomised_dependence", "kernel_density", "knee_point", "linkage"):
     q(f"numeric_{_n}")(lambda t, n=_n: getattr(numeric, n)(t))
 q("agg_mutual_information", """SELECT round(sum(p*log2(p/(px*py))),6) AS mi, round(-sum(p*log2(p/py)),6) AS h_x_given_y FROM (SELECT p, sum(p) OVER (PARTITION BY x) AS px, sum(p) OVER (PARTITION BY y) AS py FROM (SELECT l_returnflag AS x, l_linestatus AS y, count(*)/CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM lineitem GROUP BY 1,2))""")(

@@ -53,7 +53,7 @@ H = "(SELECT p_partkey, CASE WHEN p_partkey%4<>0 THEN p_size::DOUBLE END AS a, C
 q("impute_column_mean", f"SELECT p_partkey, round(coalesce(a,ma),6) AS a, round(coalesce(b,mb),6) AS b FROM {H}, (SELECT avg(a) AS ma, avg(b) AS mb FROM {H})")(lambda t: p.impute_mean(holes(t), holes(t), ["a", "b"]).select("p_partkey", F.round("a", 6).alias("a"), F.round("b", 6).alias("b")))
 q("impute_case_median", f"SELECT p_partkey, coalesce(a,med) AS a, coalesce(b,med) AS b FROM (SELECT *, list_median(list_filter([a,b,c], lambda x: x IS NOT NULL)) AS med FROM {H})".replace("list_median", "list_aggregate").replace("x IS NOT NULL))", "x IS NOT NULL), 'median')"))(lambda t: p.impute_case_median(holes(t), ["a", "b", "c"]).select("p_partkey", "a", "b"))
 for _m in ("euclidean", "cityblock", "cosine", "hamming"):
-    q(f"impute_knn_{_m}")(lambda t, m=_m: p.impute_knn(holes(t).filter("p_partkey < 400"), holes(t).filter("p_partkey >= 400 and p_partkey < 900"), ["a", "b", "c"], 5, m))
+    q(f"impute_knn_{_m}")(lambda t, m=_m: p.impute_knn(holes(t), holes(t), ["a", "b", "c"], 5, m))
 q("impute_downshift")(lambda t: p.impute_downshift(holes(t), holes(t), "b", "p_partkey"))
 q("discretise", f"SELECT c_custkey, sign((x-m)/s)*least(5,ceil(round(abs((x-m)/s)/0.5,9))*0.5) AS x FROM {X}, {P}")(lambda t: p.discretise(cust(t), train(t), "x").select("c_custkey", "x"))
 q("apply_binning", "SELECT p_partkey, (p_size>=10)::INT+(p_size>=20)::INT+(p_size>=40)::INT AS bin FROM part")(lambda t: t("part").select("p_partkey", p.binned(F.col("p_size"), [10, 20, 40]).alias("bin")))
@@ -66,7 +66,7 @@ q("yeo_johnson_fitted")(lambda t: (lambda d: d.withColumn("y", p.yeo_johnson(F.c
 q("box_cox_log", "SELECT c_custkey, round(ln(c_acctbal-lo+1),9) AS x FROM customer, (SELECT min(c_acctbal) AS lo FROM customer)")(lambda t: cust(t).join(F.broadcast(cust(t).agg(F.min("x").alias("lo"))), F.lit(True)).select("c_custkey", F.round(p.box_cox(F.col("x"), 0, 1 - F.col("lo")), 9).alias("x")))
 q("disparate_impact_removal")(lambda t: p.disparate_impact(cust(t), train(t), "x", "c_mktsegment"))
 q("combat_harmonise")(lambda t: p.combat(t("lineitem").select("l_orderkey", "l_linestatus", "l_quantity", "l_extendedprice", "l_tax", "l_discount"), t("lineitem"), ["l_quantity", "l_extendedprice", "l_tax", "l_discount"], "l_linestatus"))
-q("oversample_adasyn")(lambda t: p.oversample(t("part").filter("p_partkey < 600").select((F.col("p_size") > 40).cast("int").alias("y"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")), ["a", "b"], "y"))
+q("oversample_adasyn")(lambda t: p.oversample(t("part").select((F.col("p_size") > 40).cast("int").alias("y"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")), ["a", "b"], "y"))
 q("intensity_normalisation", "SELECT c_custkey, round(x-(g-m),6) AS x FROM (SELECT c_custkey, c_mktsegment, c_acctbal AS x, avg(c_acctbal) OVER (PARTITION BY c_mktsegment) AS g, avg(c_acctbal) OVER () AS m FROM customer)")(lambda t: p.remove_mean_difference(cust(t), cust(t), "x", "c_mktsegment").select("c_custkey", F.round("x", 6).alias("x")))
 q("custom_step", "SELECT c_custkey, c_acctbal*2 AS x FROM customer")(lambda t: cust(t).select("c_custkey", "x").mapInPandas(lambda it: (d.assign(x=d.x * 2) for d in it), "c_custkey long, x double"))
 EDGES = "(SELECT least(c_nationkey,s_nationkey) AS a, greatest(c_nationkey,s_nationkey) AS b, count(*)::DOUBLE AS w FROM (SELECT c_nationkey, (c_nationkey*7+c_custkey%5)%25 AS s_nationkey FROM customer) WHERE c_nationkey<>s_nationkey GROUP BY 1,2)"
@@ -111,7 +111,7 @@ q("rank_mutual_information", _MI)(lambda t: r.mutual_information(lines(t), COLS,
 for _c in ("mrmr", "jmi", "cmim", "disr", "icap", "fcbf"):
     q(f"rank_{_c}")(lambda t, c=_c: r.greedy(lines(t), COLS, "y", c))
 q("rank_relief")(lambda t: r.relief(lines(t), COLS, "y"))
-q("rank_linear_svm")(lambda t: r.linear_svm(lines(t).limit(4000), COLS, "y"))
+q("rank_linear_svm")(lambda t: r.linear_svm(lines(t), COLS, "y"))
 q("rank_postprocess", "SELECT feature, round((w-min(w) OVER ())/(max(w) OVER ()-min(w) OVER ()),9) AS weight FROM (VALUES ('a',1.0::DOUBLE),('b',3.0),('c',2.5)) v(feature,w)")(lambda t: r.rescale(t("region").sparkSession.createDataFrame([("a", 1.0), ("b", -3.0), ("c", 2.5)], "feature string, weight double")).withColumn("weight", F.round("weight", 9)))
 q("feature_subsets", "SELECT s.k AS subset, v.feature FROM (VALUES ('a',1),('b',2),('c',3),('d',4)) v(feature,r), (VALUES (1),(2),(4)) s(k) WHERE r<=k")(lambda t: r.subsets(t("region").sparkSession.createDataFrame([("a", 4.0), ("b", 3.0), ("c", 2.0), ("d", 1.0)], "feature string, weight double"), [1, 2, 4]))
 q("selection_consensus", "SELECT l_linenumber AS feature, round(avg(s),6) AS share FROM (SELECT l_linenumber, l_orderkey%5 AS fold, CASE WHEN avg(l_discount)>0.05 THEN 1.0 ELSE 0.0 END AS s FROM lineitem GROUP BY 1,2) GROUP BY 1")(
