@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .neighbours import _metric
+from ..llm.common import table
+from .neighbours import _metric, numbered, search_all
 
 TINY, DIGITS = 1e-5, 9
 
@@ -226,26 +227,39 @@ def combat(df: DataFrame, train: DataFrame, columns: Sequence[str], batch: str,
     return joined.withColumns(new).drop("_g", "_d")
 
 
-def oversample(df: DataFrame, columns: Sequence[str], label: str, k: int = 5, seed: int = 0, limit: int = 50_000) -> DataFrame:
-    """ADASYN: new minority rows between neighbours, more where the majority is near. The minority class and a bounded number of all rows meet on the driver."""
-    rows = df.select(label, *columns).dropna().limit(limit).collect()
-    y, x = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], float)
-    kinds, counts = np.unique(y, return_counts=True)
-    few = kinds[counts.argmin()]
-    mine, rng = np.flatnonzero(y == few), np.random.default_rng(seed)
-    want = int(counts.max() - counts.min())
-    share = np.zeros(len(mine))
-    for i, at in enumerate(mine):
-        near = np.argsort(((x - x[at]) ** 2).sum(1), kind="stable")[1 : k + 1]
-        share[i] = (y[near] != few).mean() if len(near) else 0
-    share = share / share.sum() if share.sum() else np.full(len(mine), 1 / max(len(mine), 1))
-    made = []
-    for i, n in enumerate(rng.multinomial(want, share)):
-        own = mine[np.argsort(((x[mine] - x[mine[i]]) ** 2).sum(1), kind="stable")[1 : k + 1]]
-        for _ in range(n if len(own) else 0):
-            made.append((few.item(), *(x[mine[i]] + rng.random() * (x[rng.choice(own)] - x[mine[i]])).tolist()))
+def oversample(df: DataFrame, columns: Sequence[str], label: str, k: int = 5, seed: int = 0) -> DataFrame:
+    """ADASYN: as many new minority rows as the largest class is ahead, between neighbours, more where other classes are near.
+
+    Classes are counted over all complete rows. Minority rows stay distributed and meet all rows in blocks; where no other class is near
+    any of them, all get the same number. A single minority row is copied.
+    """
+    rows = numbered(df.select(label, *columns)).withColumn("_v", F.array(*(F.col(c).cast("double") for c in columns)))
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    few = min(counts, key=lambda c: (counts[c], c), default=None)
     kind = df.schema[label].dataType.simpleString()
-    return df.sparkSession.createDataFrame(pd.DataFrame(made, columns=[label, *columns]), f"{label} {kind}, " + ", ".join(f"{c} double" for c in columns)) if made else df.select(label, *columns).limit(0)
+    want = max(counts.values(), default=0) - counts.get(few, 0)
+    if not want:
+        return df.sparkSession.createDataFrame([], f"{label} {kind}, " + ", ".join(f"{c} double" for c in columns))
+    mine = rows.filter(F.col(label) == F.lit(few))
+    near = search_all(rows, mine, "_id", "_v", k).join(rows.select(F.col("_id").alias("b"), label), "b")
+    weight = table(mine.select("_id").join(near.groupBy(F.col("q").alias("_id")).agg(F.sum((F.col(label) != F.lit(few)).cast("long")).alias("_w")), "_id", "left").withColumn("_w", F.coalesce("_w", F.lit(0))), "weights")
+    if not weight.agg(F.sum("_w")).first()[0]:
+        weight = weight.withColumn("_w", F.lit(1).cast("long"))
+    # running totals: of blocks of ids on the driver, within a block by a window
+    weight, before, total = weight.withColumn("_block", F.floor(F.col("_id") / 65536)), [], 0
+    for b, w in sorted(tuple(r) for r in weight.groupBy("_block").agg(F.sum("_w")).collect()):
+        before.append((b, total))
+        total += w
+    weight = weight.join(F.broadcast(df.sparkSession.createDataFrame(before, "_block long, _before long")), "_block")
+    weight = weight.withColumn("_to", F.col("_before") + F.sum("_w").over(Window.partitionBy("_block").orderBy("_id")))
+    upto = lambda c: F.floor((2 * c.cast("decimal(20,0)") * want + total) / (2 * total)).cast("long")
+    placed = weight.withColumn("_n", upto(F.col("_to")) - upto(F.col("_to") - F.col("_w"))).filter("_n > 0").select("_id", "_n")
+    own = search_all(mine, mine, "_id", "_v", k).join(mine.select(F.col("_id").alias("b"), F.col("_v").alias("_o")), "b").groupBy(F.col("q").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("d", "b", "_o"))).alias("_near"))
+    each = placed.join(mine.select("_id", "_v"), "_id").join(own, "_id", "left").withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    u = lambda s: (F.pmod(F.xxhash64(F.lit(seed + s), "_id", "_c"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    other = F.coalesce(F.get(F.col("_near"), F.floor(u(0) * F.size("_near")).cast("int"))["_o"], F.col("_v"))
+    made = each.withColumn("_o", other).withColumn("_u", u(1))
+    return made.select(F.lit(few).cast(kind).alias(label), *((F.col("_v")[j] + F.col("_u") * (F.col("_o")[j] - F.col("_v")[j])).alias(c) for j, c in enumerate(columns)))
 
 
 def sparsify(edges: DataFrame, case: str, weight: str, share: float) -> DataFrame:

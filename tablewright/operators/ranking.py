@@ -185,7 +185,9 @@ def backward(columns: Sequence[str], worth) -> list[str]:
     return kept
 
 
-def pandas_weights(df: DataFrame, f, columns: Sequence[str], label: str) -> DataFrame:
-    """Weights by a user function of a pandas frame of a bounded sample."""
-    pdf: pd.DataFrame = df.select(label, *columns).dropna().limit(100_000).toPandas()
+def pandas_weights(df: DataFrame, f, columns: Sequence[str], label: str, limit: int = 100_000) -> DataFrame:
+    """Weights by a user function of a pandas frame of all complete rows; more than `limit` are refused."""
+    pdf: pd.DataFrame = df.select(label, *columns).dropna().limit(limit + 1).toPandas()
+    if len(pdf) > limit:
+        raise ValueError(f"more than {limit} complete rows: give a sample")
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, f(pdf), strict=True)], "feature string, weight double")

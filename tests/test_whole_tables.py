@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tablewright import catalog
-from tablewright.operators import neighbours, ranking, simulation
+from tablewright.operators import neighbours, preprocess, ranking, simulation
 
 
 def read(spark, sf, name):
@@ -62,3 +62,30 @@ def test_neighbours_among_all_rows(spark):
         lo = np.floor(r.a)
         assert r.b == pytest.approx(f(lo) + (r.a - lo) * (f(lo + 1) - f(lo)), abs=1e-6)
     assert neighbours.numbered(df).count() == 4000
+
+
+def test_oversampling_counts_all_rows(spark):
+    """The minority stands behind 50,000 others, in two groups: only one is among the others."""
+    many = [(0, float(i), 0.0) for i in range(50_000)]
+    few = [(1, i + 0.5, 0.0) for i in range(30)] + [(1, float(i), 1e6) for i in range(30)]
+    df = spark.createDataFrame(many + few, "y int, a double, b double")
+    made = preprocess.oversample(df, ["a", "b"], "y").toPandas()
+    assert len(made) == 50_000 - 60 and set(made.y) == {1}
+    assert (made.b == 0).all() and made.a.between(0.5, 29.5).all()
+
+
+def test_oversampling_small(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_LIMIT", 3)
+    df = spark.createDataFrame([(0, float(i)) for i in range(100, 120)] + [(1, float(i)) for i in range(7)] + [(1, 0.0), (None, 5.0), (1, None)], "y int, a double")
+    made = preprocess.oversample(df, ["a"], "y", k=2).toPandas()
+    assert len(made) == 12 and made.a.between(0, 6).all()
+    assert preprocess.oversample(df.filter("y = 0"), ["a"], "y").count() == 0
+    one = preprocess.oversample(df.filter("y = 0 or a = 6"), ["a"], "y").toPandas()
+    assert len(one) == 19 and (one.a == 6).all()
+
+
+def test_pandas_weights_refuses(spark):
+    df = spark.range(11).selectExpr("id as y", "id as a")
+    assert ranking.pandas_weights(df, lambda p: [len(p)], ["a"], "y").first().weight == 11
+    with pytest.raises(ValueError):
+        ranking.pandas_weights(df, lambda p: [1.0], ["a"], "y", 10)
