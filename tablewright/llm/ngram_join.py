@@ -16,6 +16,9 @@ a class; classes are joined, copies are not expanded into pairs.
 4. Branches of more than STAR classes are first linked through their least class, which is linear in the branch. After
    components are known, only their pairs of different components are left, and those are compared in blocks; a branch of
    near copies has none.
+5. Links are inside components. Those with a branch that only a star has linked are counted anew: whole sets meet in blocks,
+   each pair of classes once, and a block gives the number of links of each of its classes, not the pairs. This work, not its
+   rows, grows with the square of such a component.
 
 A text with fewer words than `n` has one shingle, all its words; a text without words (or null) has none and links with nothing. A null id
 counts as greater than all others. Rows that share an id go each by its own text. An empty table gives an empty result. Other columns play no part.
@@ -34,6 +37,7 @@ from .substring_dedup import _bitmap, _by_bucket, _filter_of, _from_six, _in, _s
 
 NO_ID = 2**63 - 1
 ORDER_SHARE, FREQUENT, STAR, SKETCH, BLOCK = 0.3, 50, 32, (64, 4096), 1024
+BLOCK_SHINGLES = 1 << 20
 MASK = U64((1 << 48) - 1)
 _PLACE = mix(np.arange(11, 75, dtype=U64)) | U64(1)
 
@@ -220,6 +224,20 @@ def _fits(na, nb, pa_, pb, percent):
 _PAIR = "a long, b long"
 
 
+def _whole_sets(texts: DataFrame, wanted, n: int) -> DataFrame:
+    """cls, k, tokens (whole set) of the documents whose cls ^ k the filter marks; some more may pass."""
+
+    def sets(batches):
+        for rows, data, offs in text_chunks(batches, "text"):
+            row, token = shingles(data, offs, n)
+            size, cls = _sizes(row, token, len(offs) - 1)
+            edge, k = np.r_[0, np.cumsum(size)], rows.column(0).to_numpy()
+            keep = np.flatnonzero(_in(wanted, (cls ^ k).view(U64)) & (size > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(k[keep]), pa.array([_six(token[edge[x] : edge[x + 1]]) for x in keep], pa.binary())], names=["cls", "k", "tokens"])
+
+    return texts.mapInArrow(sets, "cls long, k long, tokens binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, info: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a < b, classes) whose sets reach the threshold. info: cls, size, sketch, least (a document of the class)."""
     i = info.select("cls", "least", "size", "sketch")
@@ -237,15 +255,7 @@ def verified(pairs: DataFrame, texts: DataFrame, info: DataFrame, n: int, percen
     close = table(both.mapInArrow(near, "a long, b long, ka long, kb long"), "close-pairs")
     wanted = _filter_of(close.select(F.explode(F.array(F.expr("a ^ ka"), F.expr("b ^ kb")))))
 
-    def sets(batches):
-        for rows, data, offs in text_chunks(batches, "text"):
-            row, token = shingles(data, offs, n)
-            size, cls = _sizes(row, token, len(offs) - 1)
-            edge, k = np.r_[0, np.cumsum(size)], rows.column(0).to_numpy()
-            keep = np.flatnonzero(_in(wanted, (cls ^ k).view(U64)) & (size > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(k[keep]), pa.array([_six(token[edge[x] : edge[x + 1]]) for x in keep], pa.binary())], names=["cls", "k", "tokens"])
-
-    one = texts.mapInArrow(sets, "cls long, k long, tokens binary")
+    one = _whole_sets(texts, wanted, n)
 
     def compare(batches):
         for x in batches:
@@ -261,8 +271,8 @@ def verified(pairs: DataFrame, texts: DataFrame, info: DataFrame, n: int, percen
     return table(found.mapInArrow(compare, _PAIR).distinct(), "links")
 
 
-def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", star: int = STAR, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, n_links (links of its class to other classes) of every document."""
+def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", star: int = STAR, block: int = BLOCK, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, n_links (all links of its class to other classes; null unless counted) of every document."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     buckets = input_slices(docs)
 
@@ -314,11 +324,13 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
         joined = components(links)
     labels = info.select("cls", "least").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    by_class = labels.join(least, "root").join(degree, "cls", "left").select("cls", F.col("least").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = _degrees(links, joined, wide, texts, info, n, percent, block) if count_links else info.select("cls", F.lit(None).cast("long").alias("n_links"))
+    if count_links:
+        degree = info.select("cls").join(degree, "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    by_class = labels.join(least, "root").join(degree, "cls", "left").select("cls", F.col("least").alias("class_id"), "component_id", "n_links")
     out = sets.select("k", "t", "size", "cls").join(by_class, "cls", "left")
     ids = {name: F.nullif(F.coalesce(c, "k"), F.lit(NO_ID)).alias(name) for name, c in (("doc_id", "k"), ("class_id", "class_id"), ("component_id", "component_id"))}
-    return out.select(ids["doc_id"], F.col("size").alias("n_shingles"), ids["class_id"], ids["component_id"], F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("t").alias("text_hash"))
+    return out.select(ids["doc_id"], F.col("size").alias("n_shingles"), ids["class_id"], ids["component_id"], (F.coalesce("n_links", F.lit(0)) if count_links else F.col("n_links")).alias("n_links"), F.col("t").alias("text_hash"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,7 +338,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
 
     Only rows that a fixed-size filter holds to be such are shuffled, to be told for certain.
     """
-    found = table(join(docs, n, percent, id_col, text_col).filter("n_shingles > 0"), "near-duplicates")
+    found = table(join(docs, n, percent, id_col, text_col, count_links=False).filter("n_shingles > 0"), "near-duplicates")
     rows = found.groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("times"))
     doubtful = rows.filter("not (doc_id <=> component_id) or times > 1")
     held = _filter_of(doubtful.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("k")))
@@ -385,3 +397,49 @@ def _across(wide: DataFrame, joined: DataFrame, info: DataFrame, percent: int, s
         return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
 
     return table(spread.groupBy("token", "i", "j").applyInArrow(meet, _PAIR).distinct(), "pairs-across")
+
+
+def _degrees(links: DataFrame, joined: DataFrame, wide: DataFrame, texts: DataFrame, info: DataFrame, n: int, percent: int, size: int) -> DataFrame:
+    """cls, n_links: from the links, but counted in whole sets for components that reach into a branch with no more than a star."""
+    starred = table(joined.join(joined.join(wide.select(F.col("cls").alias("node")).distinct(), "node", "left_semi").select("root").distinct(), "root", "left_semi").withColumnRenamed("node", "cls"), "starred")
+    if starred.isEmpty():
+        return links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    known = links.select(F.explode(F.array("a", "b")).alias("cls")).join(starred.select("cls"), "cls", "left_anti").groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    rows = starred.join(info.select("cls", F.col("least").alias("k"), "size"), "cls")
+    wanted = _filter_of(rows.select(F.expr("cls ^ k")))
+    blocks = rows.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = table(rows.join(_whole_sets(texts, wanted, n), ["cls", "k"]).select("root", "blocks", "block", "cls", "tokens"), "starred-sets")
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "tokens")
+
+    def meet(key, group):
+        i, j = key[1].as_py(), key[2].as_py()
+        cls, first = np.unique(group.column("cls").to_numpy(), return_index=True)  # rows that share an id and a set come more than once
+        block, raw = group.column("block").to_numpy()[first], group.column("tokens").take(pa.array(first)).to_pylist()
+        size = np.array([len(x) // 6 for x in raw], np.int64)
+        order = np.argsort(size, kind="stable")
+        cls, block, size = cls[order], block[order], size[order]
+        names, token = np.unique(_from_six(b"".join(raw[x] for x in order)), return_inverse=True)
+        edge, right = np.r_[0, np.cumsum(size)], np.flatnonzero(block == j)
+        met = np.concatenate([token[edge[y] : edge[y + 1]] for y in right]) if len(right) else token[:0]
+        start = np.r_[0, np.cumsum(size[right])]
+        n_links, inside = np.zeros(len(cls), np.int64), np.zeros(len(names), bool)
+        for x in np.flatnonzero(block == i):
+            # by size; a pair inside a block is met once, from its earlier member
+            lo = np.searchsorted(right, x, "right") if i == j else np.searchsorted(size[right], least_size(size[x], percent))
+            hi = np.searchsorted(size[right], 100 * size[x] // percent, "right")
+            if lo >= hi:
+                continue
+            mine = token[edge[x] : edge[x + 1]]
+            inside[mine] = True
+            common = np.add.reduceat(inside[met[start[lo] : start[hi]]].astype(np.int64), start[lo:hi] - start[lo])
+            inside[mine] = False
+            y = right[lo:hi]
+            y = y[100 * common >= percent * (size[x] + size[y] - common)]
+            n_links[x] += len(y)
+            n_links[y] += 1
+        some = np.flatnonzero(n_links)
+        return pa.table({"cls": pa.array(cls[some]), "n_links": pa.array(n_links[some])})
+
+    counted = spread.groupBy("root", "i", "j").applyInArrow(meet, "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    return known.unionByName(counted)

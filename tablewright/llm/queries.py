@@ -31,7 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(documents(spark, sf_dir), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.join(documents(spark, sf_dir), n=4, percent=85).select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
