@@ -1,7 +1,7 @@
 """Dimensionality reduction: a linear map (or a kernel one on landmarks) learnt from moments or a bounded sample, applied as arrays.
 
-PCA, LDA and PLS need only first and second moments, which one pass sums. The others learn from at most `sample`
-rows chosen by hash, a documented bound, and project all rows.
+PCA, LDA and PLS need only first and second moments, which one pass sums; NMF and fast ICA sum small products over all rows in
+each pass. LPP and kernel PCA learn from at most `sample` rows chosen by hash, a documented bound, and project all rows.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.common import table
 from .numeric import moments
 
 
@@ -53,26 +55,59 @@ def pls_map(m: dict, k: int) -> np.ndarray:
     return np.column_stack(out)
 
 
-def nmf(x: np.ndarray, k: int, rounds: int = 200, seed: int = 0) -> np.ndarray:
-    """Basis (k x columns) of non-negative rows by multiplicative updates."""
-    r = np.random.default_rng(seed)
-    w, h = r.random((len(x), k)) + 0.1, r.random((k, x.shape[1])) + 0.1
+def _sums(rows: DataFrame, cols: Sequence[str], f) -> np.ndarray:
+    """The sum of f(rows as an array) over all rows; f gives a vector of fixed size."""
+
+    def each(batches):
+        total = sum((f(p[cols].to_numpy(float)) for p in batches if len(p)), np.zeros(1))
+        yield pd.DataFrame({"s": [np.atleast_1d(total).tolist()]})
+
+    parts = [np.array(r[0]) for r in rows.select(*cols).mapInPandas(each, "s array<double>").collect()]
+    return sum((x for x in parts if len(x) > 1 or x[0]), np.zeros(1))
+
+
+def nmf(rows: DataFrame, cols: Sequence[str], mean: np.ndarray, sd: np.ndarray, k: int, rounds: int = 100, inner: int = 20, seed: int = 0) -> np.ndarray:
+    """Basis (k x columns) of all rows, standardised and shifted to be non-negative, by multiplicative updates.
+
+    In a round each task solves for its own rows' weights from the same start; only their products with the rows and with themselves are summed.
+    """
+    low = np.array(rows.agg(*(F.min(c) for c in cols)).first(), float)
+    h = np.random.default_rng(seed).random((k, len(cols))) + 0.1
     for _ in range(rounds):
-        h *= (w.T @ x) / (w.T @ w @ h + 1e-12)
-        w *= (x @ h.T) / (w @ h @ h.T + 1e-12)
+
+        def products(x: np.ndarray, h: np.ndarray = h) -> np.ndarray:
+            x = (x - low) / sd
+            w = np.full((len(x), k), 0.5)
+            for _ in range(inner):
+                w *= (x @ h.T) / (w @ h @ h.T + 1e-12)
+            return np.r_[(w.T @ x).ravel(), (w.T @ w).ravel()]
+
+        s = _sums(rows, cols, products)
+        wx, ww = s[: h.size].reshape(h.shape), s[h.size :].reshape(k, k)
+        new = h.copy()
+        for _ in range(inner):
+            new *= wx / (ww @ new + 1e-12)
+        done = np.abs(new - h).max() < 1e-6 * np.abs(h).max()
+        h = new
+        if done:
+            break
     return h
 
 
-def fast_ica(x: np.ndarray, k: int, rounds: int = 200, seed: int = 0) -> np.ndarray:
-    c = np.cov(x.T)
+def fast_ica(rows: DataFrame, cols: Sequence[str], mean: np.ndarray, sd: np.ndarray, c: np.ndarray, k: int, rounds: int = 200, seed: int = 0) -> np.ndarray:
+    """Fixed-point passes over all rows, whitened by their covariance c; a pass sums k x k products."""
     val, vec = np.linalg.eigh(c)
     white = vec[:, ::-1][:, :k] / np.sqrt(np.maximum(val[::-1][:k], 1e-12))
-    z = (x - x.mean(0)) @ white
     w = np.linalg.qr(np.random.default_rng(seed).normal(size=(k, k)))[0]
     for _ in range(rounds):
-        g = np.tanh(z @ w)
-        new = z.T @ g / len(z) - w * (1 - g**2).mean(0)
-        u, _, v = np.linalg.svd(new)
+
+        def products(x: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            z = (x - mean) / sd @ white
+            g = np.tanh(z @ w)
+            return np.r_[len(x), (z.T @ g).ravel(), (1 - g**2).sum(0)]
+
+        s = _sums(rows, cols, products)
+        u, _, v = np.linalg.svd(s[1 : 1 + k * k].reshape(k, k) / s[0] - w * s[1 + k * k :] / s[0])
         new = u @ v
         done = np.abs(np.abs((new * w).sum(0)) - 1).max() < 1e-8
         w = new
@@ -107,12 +142,15 @@ def reduce(df: DataFrame, columns: Sequence[str], label: str, method: str, k: in
             s = np.append(sd, 1.0)
             w = pls_map({"cov": both["cov"] / np.outer(s, s)}, k)
         w = _sign(w)
+    elif method in ("nmf", "fast_ica"):
+        rows = table(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna(), "complete-rows")
+        w = np.linalg.pinv(nmf(rows, list(columns), mean, sd, k, seed=seed)) if method == "nmf" else _sign(fast_ica(rows, list(columns), mean, sd, m["cov"], k, seed=seed))
     else:
         rows = df.select(*columns).dropna().orderBy(F.xxhash64(F.lit(seed), *columns)).limit(sample).collect()
         x = (np.array(rows, float) - mean) / sd
         if method == "kernel_pca":
             return _kernel_pca(df, columns, x, mean, sd, k)
-        w = _sign({"fast_ica": fast_ica, "lpp": lpp}[method](x, k)) if method != "nmf" else np.linalg.pinv(nmf(x - x.min(0), k))
+        w = _sign({"lpp": lpp}[method](x, k))
     z = {f"z{j + 1}": sum((F.col(c) - float(mean[i])) * float(w[i, j] / sd[i]) for i, c in enumerate(columns)) for j in range(w.shape[1])}
     return df.withColumns(z)
 

@@ -13,8 +13,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import special
+from ..functions import special, stats
+from ..llm.common import table
 from .neighbours import numbered, search
+from .numeric import moments
 
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str, penalties: Sequence[float], mixes: Sequence[float], folds: int = 3) -> DataFrame:
@@ -59,14 +61,22 @@ def performance(grid: DataFrame, repeats: int, seed: int = 0) -> DataFrame:
     return rows.mapInPandas(one, f"{fields}, bac double").groupBy("n", "prevalence", "effect").agg(F.round(F.avg("bac"), 6).alias("bac"), F.round(F.stddev_samp("bac"), 6).alias("sd"))
 
 
-def copula(df: DataFrame, columns: Sequence[str], n: int, seed: int = 0, sample: int = 5000) -> DataFrame:
-    """New cases with the columns' own distributions and rank correlations, learnt from at most `sample` rows by hash."""
-    x = np.array(df.select(*columns).dropna().orderBy(F.xxhash64(F.lit(seed), *columns)).limit(sample).collect(), float)
-    z = np.vectorize(special.normal_inverse)((np.column_stack([special.ranks(c) for c in x.T]) - 0.5) / len(x))
-    g = np.random.default_rng(seed).multivariate_normal(np.zeros(len(columns)), np.corrcoef(z.T), n)
+def copula(df: DataFrame, columns: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """New cases with the columns' own distributions and rank correlations, both of all complete rows."""
+    rows = table(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna(), "complete-rows")
+    total, score, scored = rows.count(), F.pandas_udf(lambda u: u.map(special.normal_inverse).astype(float), "double"), rows
+    for i, c in enumerate(columns):
+        ranks = stats.tied_rank(rows.select(c), [], c, "_r").distinct()
+        scored = scored.join(ranks.select(c, score((F.col("_r") - 0.5) / total).alias(f"_z{i}")), c)
+    cov = moments(scored, [f"_z{i}" for i in range(len(columns))])[0]["cov"]
+    sd = np.sqrt(np.diag(cov))
+    g = np.random.default_rng(seed).multivariate_normal(np.zeros(len(columns)), cov / np.outer(sd, sd), n)
     u = np.vectorize(special.normal_cdf)(g)
-    new = np.column_stack([np.quantile(c, q, method="hazen") for c, q in zip(x.T, u.T, strict=True)])
-    return df.sparkSession.createDataFrame(pd.DataFrame(new, columns=list(columns)))
+    new = {}
+    for i, c in enumerate(columns):
+        at = dict(tuple(r) for r in stats.hazen(rows, [], c, u[:, i].tolist()).collect())
+        new[c] = [float(at[p]) for p in u[:, i].tolist()]
+    return df.sparkSession.createDataFrame(pd.DataFrame(new))
 
 
 def between_neighbours(df: DataFrame, columns: Sequence[str], n: int, k: int = 5, metric: str = "euclidean", seed: int = 0) -> DataFrame:
