@@ -88,12 +88,9 @@ class Index:
         rows = [(h, t, p) for t, w in enumerate(self.words) for h, p in zip(*winnow(np.array([self.ids[x] for x in w], U64)), strict=True)]
         rows.sort()
         self.hash, self.of, self.place = np.array([r[0] for r in rows], U64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        self.first = re.compile("|".join(re.escape(w) for w in sorted({w for t in self.words for w in t if len(w) > 5})) or r"(?!)", re.I)
 
     def scan(self, text: str, band: int, least: float) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, start, end in characters) of each place where a template is."""
-        if not self.first.search(text):  # no telling word of any template
-            return []
         words, spans = _words(text)
         ids = np.array([self.ids.get(w, 0) for w in words], U64)
         at = np.flatnonzero(ids)
