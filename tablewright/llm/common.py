@@ -1,11 +1,14 @@
 """Shared parts of the text operators: shared-folder tables, Arrow text chunks, vectorised hashing of words.
 
 Texts are read as the byte buffers that Arrow holds, a few MB at a time, and hashed with numpy; a null
-text counts as empty everywhere. One text that is longer than a chunk is a chunk of its own, never cut.
+text counts as empty everywhere. One text that is longer than a chunk is a chunk of its own, never cut; a worker then
+needs some 60 bytes of memory for each of its bytes, and gives them back after it.
 """
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names; only where that is unset (tests), a local one, then set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = spark.conf.get("spark.tablewright.localShared", None)
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="tablewright-")
@@ -40,7 +45,22 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tablewright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what table() wrote; nothing may read it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def buckets_for(df: DataFrame, entries: int, per_bucket: int) -> int:
+    """How many buckets hold about per_bucket entries each, and no fewer than the session's shuffle partitions."""
+    return max(input_slices(df), -(-entries // per_bucket))
 
 
 def input_slices(df: DataFrame) -> int:
@@ -53,6 +73,16 @@ def crc_fold(column: str = "doc_id", mod: int = 5):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
 
 
+_libc = ctypes.CDLL(ctypes.util.find_library("c"))
+
+
+def give_back() -> None:
+    """Hands memory that is free in this process back to the system: workers wait for later tasks beside new ones."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 14) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes of their texts, offsets) for runs of rows with about max_bytes of text; nulls are empty."""
     for batch in batches:
@@ -71,6 +101,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_byt
             hi = min(hi, len(col), lo + max_rows)
             yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             lo = hi
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,18 +119,21 @@ _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+_powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        m = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            p = np.full(m, U64(base))
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+    """BASE**i and BASE**-i modulo 2**64 for i < n. Those of a chunk are kept; a longer text's go with it."""
+    if n <= CHUNK_BYTES + 1 and _powers:
+        return _powers[0][:n], _powers[1][:n]
+    found = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(max(n, CHUNK_BYTES + 1), U64(base))
+        p[0] = 1
+        found.append(np.multiply.accumulate(p))
+    if n <= CHUNK_BYTES + 1:
+        _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 class Spans:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,8 +18,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Large star: every neighbour above a node is linked to the node's least neighbour. Small star: every
     neighbour at or below it is. Both keep components; they settle on one star each. Self links and
-    repeated links are ignored. The least neighbour is a grouped minimum with partial sums, so a node of very many
-    links is not gathered anywhere.
+    repeated links are ignored. The least neighbour is a grouped minimum with partial sums; a node of very many links meets it by a
+    sort-merge join, whose large partitions the adaptive plan splits.
     """
     edges = table(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _state(edges)
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         large = table(large, "large-star")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = table(small, "small-star")
+        last, edges = edges, table(small, "small-star")
+        release(last, large)
         after = _state(edges)
         if after == before:
             break

@@ -4,24 +4,25 @@ A text's set holds its distinct `n`-word shingles, A-Z lower-cased, as 48-bit ha
 a class; classes are joined, copies are not expanded into pairs.
 
 1. Order: one order of all shingles for all sets: those of one document, those of a few, those not counted, those of many.
-   Occurrences are counted over all documents, for the lowest ORDER_SHARE of hash values; filters of fixed size mark what occurs
-   again, and often. Any order is right, this one keeps branches thin: a shingle that no filter marks although it was
-   counted is in one document only, and is not dealt out at all.
-2. Two sets as alike as the threshold share one of their first size - ceil(threshold * size) + 1 shingles. These
-   prefixes are dealt out by shingle. Each task stores its part of every class's prefix in a
-   trie and walks it: classes below a node share the path to it and are paired there once; a pair goes when
-   sizes, or what can still match behind the node, are too small.
-3. Pairs pass a sketch (about as many counts of shingles by hash value as the set has shingles: their differences bound the
-   sets' difference from below, so nothing is lost), then the whole sets are compared.
-4. Branches of more than STAR classes are first linked through their least class, which is linear in the branch. After
-   components are known, only their pairs of different components are left, and those are compared in blocks; a branch of
-   near copies has none.
-5. Links are inside components. Those with a branch that only a star has linked are counted anew: whole sets meet in blocks,
-   each pair of classes once, and a block gives the number of links of each of its classes, not the pairs. This work, not its
-   rows, grows with the square of such a component.
-
-A text with fewer words than `n` has one shingle, all its words; a text without words (or null) has none and links with nothing. A null id
-counts as greater than all others. Rows that share an id go each by its own text. An empty table gives an empty result. Other columns play no part.
+   Occurrences are counted over all documents, for the lowest ORDER_SHARE of hash values; filters mark what occurs
+   again, and often. Any order is right, this one keeps groups small: a shingle that no filter marks although it was
+   counted is in one document only, links nothing, and is sent nowhere.
+2. Two sets as alike as the threshold share one of their first size - ceil(threshold * size) + 1 shingles, and what can match
+   before and behind it is enough. These prefixes are dealt out by shingle; of the classes that share one and fit, a task sends on
+   which hang together. A shingle of more than STAR classes makes a chain of them by size, cut where sizes no longer fit.
+   So each link lies inside a group, and no pair is sent.
+3. The whole sets of a group meet in a prefix tree, walked once with all of the group as probes (prefix_trie.py): the walk carries
+   partial overlaps down shared paths and cuts subtrees by what their longest path has left. It gives each class the number of its
+   links and the least class that it reaches. Small groups share a tree, a group of more than BLOCK classes is split into
+   blocks, and a tree of one block is walked with each other block.
+4. Components are those of the links found.
+
+Links are counted inside a group of copies that all differ, so that the time for such a group grows with its square; rows made grow
+with classes times blocks.
+
+A text with fewer words than `n` has one shingle, all its words; a text without words (or null) has none and links with nothing. Texts of
+any length are read whole. A null id counts as greater than all others. Rows that share an id go each by its own text. An empty
+table gives an empty result. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import U64, input_slices, mix, table, text_chunks, word_hashes
+from . import filters
+from .common import U64, buckets_for, give_back, mix, release, table, text_chunks, word_hashes
 from .components import components
-from .substring_dedup import _bitmap, _by_bucket, _filter_of, _from_six, _in, _six, _slabs, _slot
+from .prefix_trie import Sets, joined, least_overlap, least_size, spanning
+from .substring_dedup import _by_bucket, _from_six, _six
 
 NO_ID = 2**63 - 1
-ORDER_SHARE, FREQUENT, STAR, SKETCH, BLOCK = 0.3, 50, 32, (64, 4096), 1024
-BLOCK_SHINGLES = 1 << 20
+ORDER_SHARE, FREQUENT, STAR, BLOCK = 0.3, 50, 32, 4096
+PER_BUCKET, TREE = 4 << 20, 1 << 20  # shingles that meet in a task when counted or dealt out, and in a tree
 MASK = U64((1 << 48) - 1)
 _PLACE = mix(np.arange(11, 75, dtype=U64)) | U64(1)
 
@@ -80,42 +84,7 @@ def _sizes(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return size, mix(a + size.astype(U64) * _PLACE[62]).view(np.int64)
 
 
-def _sketches(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Counts (up to 255) of each set's shingles by their low bits, about as many counts as shingles: a power of two within SKETCH."""
-    width = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), *SKETCH)
-    end = np.cumsum(width)
-    at = (end - width)[row] + (token.astype(np.int64) & (width[row] - 1))
-    counts = np.minimum(np.bincount(at, minlength=int(end[-1]) if len(end) else 0), 255).astype(np.uint8)
-    return [counts[e - w : e].tobytes() for e, w in zip(end.tolist(), width.tolist(), strict=True)]
-
-
-def fold(x: np.ndarray, width: int) -> np.ndarray:
-    """Sketches (rows) at a smaller width: the counts of a set at low bits only. Full counts are unknown, so they stay full."""
-    full = x >= 255
-    while x.shape[-1] > width:
-        half = x.shape[-1] // 2
-        full = full[..., :half] | full[..., half:]
-        x = x[..., :half] + x[..., half:]
-    return np.where(full, 255, np.minimum(x, 255)).astype(np.int16)
-
-
-def _apart(a: bytes, b: bytes) -> int:
-    """At least as many shingles as this are in one of the sets only."""
-    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
-    w = min(len(x), len(y))
-    return int(np.abs(fold(x, w) - fold(y, w)).sum())
-
-
-def least_size(size: np.ndarray, percent: int) -> np.ndarray:
-    return -(-percent * size // 100)
-
-
-def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Fewest common shingles for 100 * common >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def frequent(texts: DataFrame, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, n: int, buckets: int) -> tuple[filters.Filter, filters.Filter]:
     """Filters of the shingles that two documents hold or more, and more than FREQUENT; for the lowest ORDER_SHARE of hash values.
 
     Equal sets count once in a chunk of texts.
@@ -138,81 +107,40 @@ def frequent(texts: DataFrame, n: int, buckets: int) -> tuple[np.ndarray, np.nda
         token = token[order]
         g = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         n_docs = np.add.reduceat(times[order].astype(np.int64), g)
-        parts = [_slabs(np.unique(_slot(token[g][n_docs > most]))) for most in (1, FREQUENT)]
+        parts = [filters.slabs(token[g][n_docs > most]) for most in (1, FREQUENT)]
+        give_back()
         return pa.table({"level": pa.array([k for k, p in enumerate(parts) for _ in p[0]], pa.int32()), "slab": pa.array([x for p in parts for x in p[0]], pa.int32()), "slots": pa.array([x for p in parts for x in p[1]], pa.binary())})
 
     found = table(texts.mapInArrow(count, "bucket int, tokens binary, times binary").groupBy("bucket").applyInArrow(total, "level int, slab int, slots binary"), "shingle-counts")
-    return tuple(_bitmap(found.filter(F.col("level") == k).select("slab", "slots")) for k in (0, 1))
-
+    both = tuple(filters.build(found.filter(F.col("level") == k).select("slab", "slots")) for k in (0, 1))
+    release(found)
+    return both
 
-class Node:
-    __slots__ = ("children", "members", "token")
 
-    def __init__(self, token: int):
-        self.token, self.children, self.members = token, {}, []
+def hang_together(token: np.ndarray, cls: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int, star: int = STAR) -> tuple[np.ndarray, np.ndarray]:
+    """Classes that a shared prefix shingle ties together, each with the least of its group here.
 
-
-def trie_pairs(token: np.ndarray, cls: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int, star: int = STAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs of classes, and (token, index) of the members of branches that were linked by a star only.
-
-    Rows are (token, class, size of its set, place in its set). They are put into a trie, class by class in order;
-    `members` of a node are the rows of the classes that pass through it.
+    Rows are (token, class, size of its set, place of the token in it).
     """
-    order = np.lexsort((cls, token))
+    order = np.lexsort((cls, size, token))
     token, cls, size, pos = (x[order] for x in (token, cls, size, pos))
     new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])] if len(token) else np.zeros(0, bool)
     token, cls, size, pos = token[new], cls[new], size[new], pos[new]
     g = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-    many = np.repeat(np.diff(g, append=len(token)) > 1, np.diff(g, append=len(token)))  # shingles of one class pair nothing
-    token, cls, size, pos = token[many], cls[many], size[many], pos[many]
-    root, labelled = Node(-1), {}
-    order = np.lexsort((pos, cls))
-    last, node = None, root
-    for i, t, c in zip(order.tolist(), token[order].tolist(), cls[order].tolist(), strict=True):
-        if c != last:
-            last, node, depth = c, root, 0
-        nxt = node.children.get(t)
-        if nxt is None:
-            nxt = node.children[t] = Node(t)
-            labelled.setdefault(t, []).append((depth, nxt))
-        nxt.members.append(i)
-        node, depth = nxt, depth + 1
-    left, right, stars = [], [], []
-
-    def link(i: np.ndarray, j: np.ndarray) -> None:
-        ok = _fits(size[i], size[j], pos[i], pos[j], percent) & (cls[i] != cls[j])
-        left.append(np.minimum(cls[i[ok]], cls[j[ok]]))
-        right.append(np.maximum(cls[i[ok]], cls[j[ok]]))
-
-    for nodes in labelled.values():
-        total = sum(len(x.members) for _, x in nodes)
-        if total < 2:
-            continue
-        if total > star:
-            every = np.array([i for _, x in nodes for i in x.members])
-            stars.append(every)
-            # sizes of a band all fit together; the least class of a band is linked to the others, and to those of the next bands
-            band = np.floor(np.log(size[every]) / np.log(100 / percent) + 1e-9).astype(np.int64)
-            order = np.lexsort((cls[every], band))
-            by, band = every[order], band[order]
-            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-            hub = np.repeat(by[starts], np.diff(starts, append=len(by)))
-            link(hub, by)
-            link(by[starts[:-1]], by[starts[1:]])
-            continue
-        done: list[int] = []
-        for depth, x in nodes:
-            m = np.array(x.members)
-            if depth == 0 and len(m) > 1:  # deeper down, the pairs below this node met at its ancestors
-                i, j = np.triu_indices(len(m), 1)
-                link(m[i], m[j])
-            if done and len(m):
-                d = np.array(done)
-                link(np.repeat(d, len(m)), np.tile(m, len(d)))
-            done += x.members
-    s = np.concatenate(stars) if stars else np.zeros(0, np.int64)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none), s, np.column_stack([token[s].astype(np.int64), cls[s], size[s], pos[s]]) if len(s) else np.zeros((0, 4), np.int64)
+    many = np.diff(g, append=len(token))
+    n = np.repeat(many, many)
+    left, right = [], []
+    for d in range(1, min(star, int(many.max(initial=0)))):
+        i = np.flatnonzero((token[:-d] == token[d:]) & (n[:-d] <= star))
+        i = i[_fits(size[i], size[i + d], pos[i], pos[i + d], percent)]
+        left.append(cls[i])
+        right.append(cls[i + d])
+    # sorted by size: two that fit have only such between them as fit their neighbours
+    i = np.flatnonzero((token[:-1] == token[1:]) & (n[:-1] > star))
+    i = i[size[i] >= least_size(size[i + 1], percent)]
+    left.append(cls[i])
+    right.append(cls[i + 1])
+    return spanning(np.concatenate(left), np.concatenate(right))
 
 
 def _fits(na, nb, pa_, pb, percent):
@@ -221,71 +149,34 @@ def _fits(na, nb, pa_, pb, percent):
     return (np.minimum(na, nb) >= least_size(np.maximum(na, nb), percent)) & (most >= least_overlap(na, nb, percent))
 
 
-_PAIR = "a long, b long"
-
-
-def _whole_sets(texts: DataFrame, wanted, n: int) -> DataFrame:
-    """cls, k, tokens (whole set) of the documents whose cls ^ k the filter marks; some more may pass."""
-
-    def sets(batches):
-        for rows, data, offs in text_chunks(batches, "text"):
-            row, token = shingles(data, offs, n)
-            size, cls = _sizes(row, token, len(offs) - 1)
-            edge, k = np.r_[0, np.cumsum(size)], rows.column(0).to_numpy()
-            keep = np.flatnonzero(_in(wanted, (cls ^ k).view(U64)) & (size > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(k[keep]), pa.array([_six(token[edge[x] : edge[x + 1]]) for x in keep], pa.binary())], names=["cls", "k", "tokens"])
-
-    return texts.mapInArrow(sets, "cls long, k long, tokens binary")
-
+def _sets(group: pa.Table, rows: np.ndarray, names: np.ndarray, token: np.ndarray, edge: np.ndarray, root: np.ndarray) -> Sets:
+    n = np.diff(edge)[rows]
+    which = np.repeat(edge[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return Sets(root[rows], group.column("size").to_numpy()[rows].astype(np.int64), token[which], np.r_[0, np.cumsum(n)])
 
-def verified(pairs: DataFrame, texts: DataFrame, info: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a < b, classes) whose sets reach the threshold. info: cls, size, sketch, least (a document of the class)."""
-    i = info.select("cls", "least", "size", "sketch")
-    both = pairs.join(i.toDF("a", "ka", "na", "sa"), "a").join(i.toDF("b", "kb", "nb", "sb"), "b").select("a", "b", "ka", "kb", "na", "nb", "sa", "sb")
 
-    def near(batches):
-        for x in batches:
-            if not len(x):
-                continue
-            na, nb = x.column(4).to_numpy(), x.column(5).to_numpy()
-            apart = np.array([_apart(a, b) for a, b in zip(x.column(6).to_pylist(), x.column(7).to_pylist(), strict=True)])
-            ok = apart <= na + nb - 2 * least_overlap(na, nb, percent)
-            yield x.select(["a", "b", "ka", "kb"]).filter(pa.array(ok))
-
-    close = table(both.mapInArrow(near, "a long, b long, ka long, kb long"), "close-pairs")
-    wanted = _filter_of(close.select(F.explode(F.array(F.expr("a ^ ka"), F.expr("b ^ kb")))))
-
-    one = _whole_sets(texts, wanted, n)
-
-    def compare(batches):
-        for x in batches:
-            ok = []
-            for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                s, t = _from_six(s), _from_six(t)
-                both = np.sort(np.concatenate([s, t]))
-                both = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    found = close.join(one.toDF("a", "ka", "ta"), ["a", "ka"]).join(one.toDF("b", "kb", "tb"), ["b", "kb"]).select("a", "b", "ta", "tb")
-    return table(found.mapInArrow(compare, _PAIR).distinct(), "links")
-
-
-def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", star: int = STAR, block: int = BLOCK, count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, n_links (all links of its class to other classes; null unless counted) of every document."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    buckets = input_slices(docs)
+def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", star: int = STAR, block: int = BLOCK, per_tree: int = TREE) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, n_links (links of its class to other classes), text_hash of every document."""
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(id_col).isNull().alias("void"))
 
     def measure(batches):
         for rows, data, offs in text_chunks(batches, "text"):
             row, token = shingles(data, offs, n)
             size, cls = _sizes(row, token, len(rows))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(size.astype(np.int64)), pa.array(cls), pa.array(_sketches(row, token, size), pa.binary())], names=["k", "t", "size", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(size.astype(np.int64)), pa.array(cls)], names=["k", "t", "void", "size", "cls"])
 
-    sets = table(texts.mapInArrow(measure, "k long, t long, size long, cls long, sketch binary"), "set-sizes")
-    info = table(sets.filter("size > 0").groupBy("cls").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("k").alias("least")), "classes")
+    sets = table(texts.mapInArrow(measure, "k long, t long, void boolean, size long, cls long"), "set-sizes")
+    info = sets.filter("size > 0").groupBy("cls").agg(F.min(F.struct("k", "void")).alias("least"))
+    buckets = buckets_for(docs, sets.agg(F.sum("size").alias("n")).first()["n"] or 0, PER_BUCKET)
     (again, often), top = frequent(texts, n, buckets), U64(int(ORDER_SHARE * (1 << 48)))
 
+    def ranks(token: np.ndarray) -> np.ndarray:
+        """3: many documents hold it, 2: not counted, 1: some do, 0: one does."""
+        out = np.full(len(token), 2, np.int64)
+        i = np.flatnonzero(token < top)
+        out[i] = np.where(often.has(token[i]), 3, again.has(token[i]))
+        return out
+
     def prefixes(batches):
         for _, data, offs in text_chunks(batches, "text"):
             row, token = shingles(data, offs, n)
@@ -295,8 +186,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
             only[first] = True
             keep = only[row]
             row, token = row[keep], token[keep]
-            rank = np.where(token < top, np.where(_in(often, token), 3, _in(again, token)), 2)
-            key = np.sort((row.astype(U64) << U64(50)) | (rank.astype(U64) << U64(48)) | token)
+            key = np.sort((row.astype(U64) << U64(50)) | (ranks(token).astype(U64) << U64(48)) | token)
             row, rank, token = (key >> U64(50)).astype(np.int64), (key >> U64(48)) & U64(3), key & MASK
             kept = np.where(only, size, 0)
             pos = np.arange(len(row)) - (np.cumsum(kept) - kept)[row]
@@ -306,140 +196,97 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
             packed = [np.rec.fromarrays([token[j].astype("<u8"), cls[row[j]], size[row[j]].astype("<i4"), pos[j].astype("<i4")]).tobytes() for _, j in found]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "rows"])
 
-    def branches(key, group):
+    def ties(key, group):
         x = np.frombuffer(b"".join(group.column("rows").to_pylist()), np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("p", "<i4")]))
-        a, b, _, stars = trie_pairs(x["t"].astype(U64), x["c"].astype(np.int64), x["n"].astype(np.int64), x["p"].astype(np.int64), percent, star)
-        pair = np.unique(np.column_stack([a, b]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        zero = np.zeros(len(pair), np.int64)
-        cols = [np.r_[zero, np.ones(len(stars), np.int64)], np.r_[pair[:, 0], stars[:, 1]], np.r_[pair[:, 1], stars[:, 0]], np.r_[zero, stars[:, 2]], np.r_[zero, stars[:, 3]]]
-        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["kind", "a", "b", "size", "pos"])
-
-    walked = table(texts.mapInArrow(prefixes, "bucket int, rows binary").groupBy("bucket").applyInArrow(branches, "kind long, a long, b long, size long, pos long"), "branches")
-    links = verified(walked.filter("kind = 0").select("a", "b").distinct(), texts, info, n, percent)
-    joined = components(links)
-    wide = walked.filter("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("token"), "size", "pos")
-    rest = _across(wide, joined, info, percent, block)
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, texts, info, n, percent)).distinct()
-        joined = components(links)
-    labels = info.select("cls", "least").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = _degrees(links, joined, wide, texts, info, n, percent, block) if count_links else info.select("cls", F.lit(None).cast("long").alias("n_links"))
-    if count_links:
-        degree = info.select("cls").join(degree, "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    by_class = labels.join(least, "root").join(degree, "cls", "left").select("cls", F.col("least").alias("class_id"), "component_id", "n_links")
-    out = sets.select("k", "t", "size", "cls").join(by_class, "cls", "left")
-    ids = {name: F.nullif(F.coalesce(c, "k"), F.lit(NO_ID)).alias(name) for name, c in (("doc_id", "k"), ("class_id", "class_id"), ("component_id", "component_id"))}
-    return out.select(ids["doc_id"], F.col("size").alias("n_shingles"), ids["class_id"], ids["component_id"], (F.coalesce("n_links", F.lit(0)) if count_links else F.col("n_links")).alias("n_links"), F.col("t").alias("text_hash"))
+        a, b = hang_together(x["t"].astype(U64), x["c"].astype(np.int64), x["n"].astype(np.int64), x["p"].astype(np.int64), percent, star)
+        give_back()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    groups = components(texts.mapInArrow(prefixes, "bucket int, rows binary").groupBy("bucket").applyInArrow(ties, "a long, b long"))
+    grouped = table(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(info.select("cls", F.col("least.k").alias("k")), "cls"), "groups")
+    wanted = filters.of_values(grouped.select(F.expr("cls ^ k")))
+
+    def whole(batches):
+        """The documents that stand for grouped classes (some more may pass): shingles in the order of the walk, without those of one document."""
+        for rows, data, offs in text_chunks(batches, "text"):
+            row, token = shingles(data, offs, n)
+            size, cls = _sizes(row, token, len(offs) - 1)
+            k = rows.column(0).to_numpy()
+            use = wanted.has((cls ^ k).view(U64)) & (size > 0)
+            row, token = row[use[row]], token[use[row]]
+            rank = ranks(token)
+            row, token, rank = row[rank > 0], token[rank > 0], rank[rank > 0]
+            key = np.sort((row.astype(U64) << U64(50)) | ((3 - rank).astype(U64) << U64(48)) | token)
+            row, rank, token = (key >> U64(50)).astype(np.int64), ((key >> U64(48)) & U64(3)).astype(np.int64), key & MASK
+            edge = np.searchsorted(row, np.arange(len(offs)))
+            some = np.flatnonzero(use)
+            ends = [np.searchsorted(row * 4 + rank, some * 4 + r) - edge[some] for r in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(k[some]), pa.array(size[some].astype(np.int64)), *(pa.array(e, pa.int64()) for e in ends), pa.array([_six(token[edge[x] : edge[x + 1]]) for x in some], pa.binary())], names=["cls", "k", "size", "often", "unknown", "tokens"])
+
+    members = table(texts.mapInArrow(whole, "cls long, k long, size long, often long, unknown long, tokens binary").join(grouped, ["cls", "k"]).dropDuplicates(["cls"]).drop("k"), "members")
+    for f in (again, often, wanted):
+        f.drop()
+    total = members.agg(F.sum(F.length("tokens") / 6).cast("long").alias("n")).first()["n"] or 0
+    trees = buckets_for(docs, total, per_tree)
+    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.length("tokens")) / (6 * 4 * per_tree))).cast("int").alias("blocks"))
+    large = members.join(sizes.filter("blocks > 1"), "grp")
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    spread = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    small = members.join(sizes.filter("blocks = 1"), "grp").select("grp", *(c for c in members.columns if c != "grp"), F.lit(-1).alias("own"), F.pmod(F.xxhash64("grp"), F.lit(trees)).cast("int").alias("i"), F.lit(-1).alias("j"))
+    dealt = small.withColumn("tree", F.lit(None).cast("long")).unionByName(spread.withColumn("tree", F.col("grp")))
+
+    def meet(key, group):
+        """cls, its links here, the least class it reaches here."""
+        i, j = key[1].as_py(), key[2].as_py()
+        cls, root = group.column("cls").to_numpy(), np.unique(group.column("grp").to_numpy(), return_inverse=True)[1]
+        raw = group.column("tokens").to_pylist()
+        n = np.array([len(x) // 6 for x in raw])
+        edge = np.r_[0, np.cumsum(n)]
+        place = np.arange(edge[-1]) - np.repeat(edge[:-1], n)
+        order = (place >= np.repeat(group.column("often").to_numpy(), n)).astype(U64) + (place >= np.repeat(group.column("unknown").to_numpy(), n)).astype(U64)
+        names, token = np.unique((order << U64(48)) | _from_six(b"".join(raw)), return_inverse=True)
+        own = group.column("own").to_numpy()
+        first, second = np.flatnonzero(own == i) if j >= 0 else np.arange(len(cls)), np.flatnonzero(own == j) if j > i else None
+        links, label = joined(_sets(group, first, names, token, edge, root), None if second is None else _sets(group, second, names, token, edge, root), percent)
+        cls = cls[first if second is None else np.r_[first, second]]
+        some = np.flatnonzero(links)
+        give_back()
+        return pa.table({"cls": pa.array(cls[some], pa.int64()), "n_links": pa.array(links[some], pa.int64()), "reach": pa.array(cls[label[some]], pa.int64())})
+
+    links = table(dealt.groupBy("tree", "i", "j").applyInArrow(meet, "cls long, n_links long, reach long"), "links")
+    found = components(links.select(F.col("cls").alias("a"), F.col("reach").alias("b")))
+    degree = links.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    labels = info.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = labels.groupBy("root").agg(F.min("least").alias("of"))
+    by_class = labels.join(least, "root").join(degree, "cls", "left").select("cls", "least", "of", "n_links")
+    out = sets.join(by_class, "cls", "left")
+    own_id = F.struct("k", "void")
+    id_of = lambda c, name: F.when(~c["void"], c["k"]).alias(name)
+    return out.select(
+        id_of(own_id, "doc_id"), F.col("size").alias("n_shingles"), id_of(F.coalesce("least", own_id), "class_id"), id_of(F.coalesce("of", own_id), "component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("t").alias("text_hash"),
+    )
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have a smaller id, or an equal row, in their component; columns stay.
+    """The documents without those that have a smaller id, or an equal row (id and text), in their component; columns stay, whatever their names.
 
-    Only rows that a fixed-size filter holds to be such are shuffled, to be told for certain.
+    Texts without words are in no component and all stay. Only rows that a filter holds to have such a partner are shuffled, to
+    be told for certain.
     """
-    found = table(join(docs, n, percent, id_col, text_col, count_links=False).filter("n_shingles > 0"), "near-duplicates")
+    found = table(join(docs, n, percent, id_col, text_col).filter("n_shingles > 0"), "near-duplicates")
     rows = found.groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("times"))
     doubtful = rows.filter("not (doc_id <=> component_id) or times > 1")
-    held = _filter_of(doubtful.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("k")))
+    held = filters.of_values(doubtful.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("k")))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
     def mark(batches):
         for b in batches:
-            yield b.append_column("_doubt", pa.array(_in(held, b.column(0).to_numpy().astype(U64))))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_k"), "*").mapInArrow(mark, f"_k long, {fields}, _doubt boolean")
-    sure = marked.filter("not _doubt").select(*docs.columns)
-    told = doubtful.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_k"), F.col("text_hash").alias("_t"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_stays"))
-    rest = marked.filter("_doubt").withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(told, ["_k", "_t"], "left").filter("_stays is null or _stays")
-    new = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_k"))
-    return sure.unionByName(rest.withColumn("_n", new).filter("_n = 1 or _stays is null").select(*docs.columns))
-
-
-def _across(wide: DataFrame, joined: DataFrame, info: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs of different components in branches that a star has linked: compared by sketch, in blocks of `size` classes."""
-    label = joined.withColumnRenamed("node", "cls")
-    rows = wide.join(label, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
-    rows = rows.join(mixed.select("token", "n"), "token").join(info.select("cls", "sketch"), "cls")
-    rows = table(rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "wide-branches")
-    # block i meets every block j: once as (i, j), i <= j
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "size", "pos", "root", "sketch")
-
-    def meet(key, group):
-        i, j = key[1].as_py(), key[2].as_py()
-        block, cls, n, pos, root = (group.column(c).to_numpy() for c in ("block", "cls", "size", "pos", "root"))
-        raw = group.column("sketch").to_pylist()
-        width = np.array([len(x) for x in raw])
-        levels = {}  # width: sketches at it, and where each class of that width or more is
-        for w in np.unique(width):
-            rows = np.flatnonzero(width >= w)
-            at = np.full(len(raw), -1)
-            at[rows] = np.arange(len(rows))
-            levels[int(w)] = (np.array([fold(np.frombuffer(raw[r], np.uint8).astype(np.int32), int(w)) for r in rows], np.int16), at)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            y = right[(root[right] != root[x]) & (cls[right] != cls[x])]
-            if i == j:
-                y = y[cls[y] > cls[x]]
-            y = y[_fits(n[x], n[y], pos[x], pos[y], percent)]
-            common = np.minimum(width[y], width[x])
-            for w in np.unique(common):
-                sketch, at = levels[int(w)]
-                z = y[common == w]
-                for lo in range(0, len(z), 256):
-                    v = z[lo : lo + 256]
-                    v = v[np.abs(sketch[at[v]] - sketch[at[x]]).sum(1) <= n[x] + n[v] - 2 * least_overlap(n[x], n[v], percent)]
-                    a.append(np.minimum(cls[x], cls[v]))
-                    b.append(np.maximum(cls[x], cls[v]))
-        pair = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
-
-    return table(spread.groupBy("token", "i", "j").applyInArrow(meet, _PAIR).distinct(), "pairs-across")
-
-
-def _degrees(links: DataFrame, joined: DataFrame, wide: DataFrame, texts: DataFrame, info: DataFrame, n: int, percent: int, size: int) -> DataFrame:
-    """cls, n_links: from the links, but counted in whole sets for components that reach into a branch with no more than a star."""
-    starred = table(joined.join(joined.join(wide.select(F.col("cls").alias("node")).distinct(), "node", "left_semi").select("root").distinct(), "root", "left_semi").withColumnRenamed("node", "cls"), "starred")
-    if starred.isEmpty():
-        return links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    known = links.select(F.explode(F.array("a", "b")).alias("cls")).join(starred.select("cls"), "cls", "left_anti").groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = starred.join(info.select("cls", F.col("least").alias("k"), "size"), "cls")
-    wanted = _filter_of(rows.select(F.expr("cls ^ k")))
-    blocks = rows.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = table(rows.join(_whole_sets(texts, wanted, n), ["cls", "k"]).select("root", "blocks", "block", "cls", "tokens"), "starred-sets")
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "tokens")
-
-    def meet(key, group):
-        i, j = key[1].as_py(), key[2].as_py()
-        cls, first = np.unique(group.column("cls").to_numpy(), return_index=True)  # rows that share an id and a set come more than once
-        block, raw = group.column("block").to_numpy()[first], group.column("tokens").take(pa.array(first)).to_pylist()
-        size = np.array([len(x) // 6 for x in raw], np.int64)
-        order = np.argsort(size, kind="stable")
-        cls, block, size = cls[order], block[order], size[order]
-        names, token = np.unique(_from_six(b"".join(raw[x] for x in order)), return_inverse=True)
-        edge, right = np.r_[0, np.cumsum(size)], np.flatnonzero(block == j)
-        met = np.concatenate([token[edge[y] : edge[y + 1]] for y in right]) if len(right) else token[:0]
-        start = np.r_[0, np.cumsum(size[right])]
-        n_links, inside = np.zeros(len(cls), np.int64), np.zeros(len(names), bool)
-        for x in np.flatnonzero(block == i):
-            # by size; a pair inside a block is met once, from its earlier member
-            lo = np.searchsorted(right, x, "right") if i == j else np.searchsorted(size[right], least_size(size[x], percent))
-            hi = np.searchsorted(size[right], 100 * size[x] // percent, "right")
-            if lo >= hi:
-                continue
-            mine = token[edge[x] : edge[x + 1]]
-            inside[mine] = True
-            common = np.add.reduceat(inside[met[start[lo] : start[hi]]].astype(np.int64), start[lo:hi] - start[lo])
-            inside[mine] = False
-            y = right[lo:hi]
-            y = y[100 * common >= percent * (size[x] + size[y] - common)]
-            n_links[x] += len(y)
-            n_links[y] += 1
-        some = np.flatnonzero(n_links)
-        return pa.table({"cls": pa.array(cls[some]), "n_links": pa.array(n_links[some])})
-
-    counted = spread.groupBy("root", "i", "j").applyInArrow(meet, "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
-    return known.unionByName(counted)
+            yield b.append_column("doubt", pa.array(held.has(b.column(0).to_numpy().astype(U64))))
+
+    marked = keyed.mapInArrow(mark, StructType([*keyed.schema, StructField("doubt", BooleanType())]))
+    sure = marked.filter("not doubt").select("row.*")
+    told = doubtful.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("k"), F.col("text_hash").alias("t"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays"))
+    rest = marked.filter("doubt").join(told, ["k", "t"], "left").filter("stays is null or stays")
+    first = F.row_number().over(Window.partitionBy("k", "t").orderBy("k"))
+    return sure.unionByName(rest.withColumn("nth", first).filter("nth = 1 or stays is null").select("row.*"))

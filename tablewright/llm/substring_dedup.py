@@ -14,8 +14,9 @@ at i and i + length, sorted and renamed, until it is unique or the length passes
 * Of the documents that are first to hold such a string, those whose anchor's name others share are ranked once more, window by
   window, by names that reach the threshold exactly.
 
-A third of all rows in one group of copies stays cheap: equal strings within a chunk of texts send only the one of the smallest id.
-Null text: empty. A null id is greater than all others. Rows that share an id never match each other; each
+A third of all rows in one group of copies stays cheap: of equal strings within a chunk of texts only the one of the smallest id is
+sent, and none where the task has lately sent it for a smaller id. Null text: empty. A null id is greater than all others (2**63 - 1
+counts as one). Texts of any length are read whole; where they are cut depends on no other text. Rows that share an id never match each other; each
 keeps its own bytes. An empty table gives an empty result. Other columns play no part.
 """
 
@@ -28,10 +29,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import _BYTES, U64, Spans, input_slices, mix, table, text_chunks
+from . import filters
+from .common import _BYTES, U64, Spans, buckets_for, give_back, mix, table, text_chunks
 
-NAME, CHUNK, FILTER_BITS = 24, 1 << 19, 27
+NAME, CHUNK = 24, 1 << 19
+PER_BUCKET = 64 << 20  # bytes of text whose anchors meet in a bucket
 _STEP = mix(np.arange(1, 9, dtype=U64)) | U64(1)
 
 
@@ -99,6 +103,9 @@ _BLOB = "bucket int, n int, hashes binary, places binary, ids binary"
 _HIT = "k long, t int, lo int, hi int"
 
 
+CACHE = 1 << 16  # strings that a task remembers to have sent
+
+
 def _keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return rows.column(0).to_numpy(), rows.column(1).to_numpy()
 
@@ -177,7 +184,8 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
     """
     if span < NAME + 1:
         raise ValueError(f"span must be {NAME + 1} at least")
-    buckets, low = input_slices(docs), U64((1 << 48) - 1)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets, low, far = buckets_for(docs, size, PER_BUCKET), U64((1 << 48) - 1), 1 if span - NAME < 256 else 4
 
     def kept_anchors(rows, data, offs):
         k, t = _keys(rows)
@@ -207,26 +215,31 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
         order = np.argsort(name, kind="stable")
         name, g = name[order], _groups(name[order])
         more = np.diff(g, append=len(name)) + np.add.reduceat(twice[order], g) > 1 if len(g) else np.zeros(0, bool)
-        slab, slots = _slabs(np.unique(_slot(name[g][more])))
+        slab, slots = filters.slabs(name[g][more])
+        give_back()
         return pa.table({"slab": pa.array(slab, pa.int32()), "slots": pa.array(slots, pa.binary())})
 
-    common = _bitmap(docs.mapInArrow(send_names, "bucket int, names binary, twice binary").groupBy("bucket").applyInArrow(shared, "slab int, slots binary"))
+    common = filters.build(docs.mapInArrow(send_names, "bucket int, names binary, twice binary").groupBy("bucket").applyInArrow(shared, filters.SLABS))
 
     def send(batches):
+        sent, by = np.zeros(CACHE, U64), np.full(CACHE, 2**63 - 1)
         for rows, data, offs in text_chunks(batches, "text", CHUNK):
             k, t, copy, lo, hi, row, name = kept_anchors(rows, data, offs)
             size = np.diff(offs)
             c = np.flatnonzero(copy & (size >= span))
             hits = [(k[c], t[c], np.zeros(len(c), np.int64), size[c] - span)]
-            i = np.flatnonzero(_in(common, name & low))
+            i = np.flatnonzero(common.has(name & low))
             lo, hi, row, name = lo[i], hi[i], row[i], name[i]
             whole = Spans(data).hash(lo, hi + span)
             # the same string again: only the smallest document's goes on
-            later = _first_of(mix(name * _STEP[1] + whole), k[row])
+            key = mix(name * _STEP[1] + whole)
+            slot = (key & U64(CACHE - 1)).astype(np.int64)
+            later = _first_of(key, k[row]) | ((sent[slot] == key) & (by[slot] < k[row]))
+            sent[slot[~later]], by[slot[~later]] = key[~later], k[row][~later]
             i = np.flatnonzero(later)
             hits.append((k[row[i]], t[row[i]], lo[i] - offs[row[i]], hi[i] - offs[row[i]]))
             i = np.flatnonzero(~later)
-            yield _blobs(buckets, ((name[i] >> U64(48)) % U64(buckets)).astype(np.int64), [name[i], whole[i]], row[i], lo[i] - offs[row[i]], [hi[i] - lo[i]], k, t)
+            yield _blobs(buckets, ((name[i] >> U64(48)) % U64(buckets)).astype(np.int64), [name[i], whole[i]], row[i], lo[i] - offs[row[i]], _as_bytes(hi[i] - lo[i], far), k, t)
             hk, ht, hlo, hhi = (np.concatenate([h[j] for h in hits]) for j in range(4))
             if len(hk):
                 packed = _squeeze(hk.astype("<i8"), ht.astype("<i4"), hlo.astype("<i4"), hhi.astype("<i4"))
@@ -242,7 +255,8 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
             hit = [np.concatenate([p[j] for p in parts]) for j in range(4)]
             slab, slots = [], []
         else:
-            name, whole, k, t, lo, more = _unpack(group, 2, 1)
+            name, whole, k, t, lo, *more = _unpack(group, 2, far)
+            more = sum(m.astype(np.int64) << (8 * j) for j, m in enumerate(more))
             order = np.lexsort((k, whole, name))
             name, whole, k, t, lo, more = (x[order] for x in (name, whole, k, t, lo, more))
             u, g = _groups(name, whole), _groups(name)
@@ -252,20 +266,21 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
             apart = np.repeat(np.minimum.reduceat(k, g) != np.maximum.reduceat(k, g), np.diff(g, append=len(k))) if len(g) else np.zeros(0, bool)
             several = np.repeat(np.diff(np.searchsorted(u, np.append(g, len(k)))) > 1, np.diff(g, append=len(k)))
             f = u[(apart & several)[u]] if len(u) else u
-            slab, slots = _slabs(np.unique(_slot(_holder(name[f], whole[f], k[f]))))
+            slab, slots = filters.slabs(_holder(name[f], whole[f], k[f]))
+        give_back()
         n, m = len(hit[0]), len(slab)
         pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind)])
         return pa.table([pad(hit[0], pa.int64()), *(pad(x.astype(np.int32), pa.int32()) for x in hit[1:]), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(slab, pa.int32())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(slots, pa.binary())])], names=["k", "t", "lo", "hi", "slab", "slots"])
 
     ranked = table(docs.mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(rank, _HIT + ", slab int, slots binary"), "anchor-ranks")
-    first = _bitmap(ranked.filter("slab is not null").select("slab", "slots"))
+    first = filters.build(ranked.filter("slab is not null").select("slab", "slots"))
 
     def send_windows(batches):
         for rows, data, offs in text_chunks(batches, "text", CHUNK):
             k, t, _, lo, hi, row, name = kept_anchors(rows, data, offs)
-            i = np.flatnonzero(_in(common, name & low))
+            i = np.flatnonzero(common.has(name & low))
             lo, hi, row, name = lo[i], hi[i], row[i], name[i]
-            i = np.flatnonzero(_in(first, _holder(name, Spans(data).hash(lo, hi + span), k[row])))
+            i = np.flatnonzero(first.has(_holder(name, Spans(data).hash(lo, hi + span), k[row])))
             many = hi[i] - lo[i] + 1
             s = np.repeat(lo[i] - np.cumsum(many) + many, many) + np.arange(many.sum())
             r = np.repeat(row[i], many)
@@ -276,6 +291,7 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
         h, k, t, lo, x, y = _unpack(group, 1, 2)
         h |= (x.astype(U64) << U64(48)) | (y.astype(U64) << U64(56))
         i = np.flatnonzero(_first_of(h, k))
+        give_back()
         i = i[np.lexsort((lo[i], t[i], k[i]))]
         k, t, lo = k[i], t[i], lo[i]
         # neighbouring starts make one run
@@ -283,52 +299,13 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
         return pa.Table.from_batches([_hits(k[new], t[new], lo[new].astype(np.int32), lo[np.append(new[1:], len(k)) - 1].astype(np.int32) if len(k) else lo.astype(np.int32))])
 
     windows = table(docs.mapInArrow(send_windows, _BLOB).groupBy("bucket").applyInArrow(rank_windows, _HIT), "window-ranks")
+    common.drop()
+    first.drop()
     return [ranked.filter("k is not null").select("k", "t", "lo", "hi"), windows]
 
 
-def _slabs(slots: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Sorted slots of a filter, by slab."""
-    slab = slots >> (FILTER_BITS - 8)
-    edges = np.searchsorted(slab, np.arange(257))
-    some = np.flatnonzero(np.diff(edges))
-    return some.tolist(), [(slots[edges[x] : edges[x + 1]] & ((1 << (FILTER_BITS - 8)) - 1)).astype("<i4").tobytes() for x in some]
-
-
-def _in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = _slot(values)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _filter_of(values: DataFrame) -> np.ndarray:
-    """A fixed-size filter of a column of longs."""
-
-    def each(batches):
-        for b in batches:
-            slab, raw = _slabs(np.unique(_slot(b.column(0).to_numpy().astype(U64))))
-            yield pa.RecordBatch.from_arrays([pa.array(slab, pa.int32()), pa.array(raw, pa.binary())], names=["slab", "slots"])
-
-    return _bitmap(values.mapInArrow(each, "slab int, slots binary"))
-
-
-def _slot(name: np.ndarray) -> np.ndarray:
-    """Place of a value in a filter of fixed size."""
-    return (mix(name * U64(0x9FB21C651E98DF25)) >> U64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _bitmap(slots: DataFrame) -> np.ndarray:
-    """A filter of 2**FILTER_BITS bits (16 MB, whatever the data) of (slab, slots): what it passes in error is only ranked once more."""
-    part = 1 << (FILTER_BITS - 8)
-
-    def merge(key, group):
-        bits = np.zeros(part, bool)
-        for x in group.column("slots").to_pylist():
-            bits[np.frombuffer(x, "<i4")] = True
-        return pa.table({"slab": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in slots.groupBy("slab").applyInArrow(merge, "slab int, bits binary").collect():  # at most 256 rows
-        out[r["slab"] * part // 8 : (r["slab"] + 1) * part // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+def _as_bytes(x: np.ndarray, n: int) -> list[np.ndarray]:
+    return [(x >> (8 * j)) & 255 for j in range(n)]
 
 
 def _merge(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -349,21 +326,22 @@ def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str
     parts = duplicated(rows.select(F.col("_k").alias("k"), F.col("_t").alias("t"), F.col("_h").alias("h"), F.col("_text").alias("text")), span)
     found = parts[0].unionByName(parts[1])
     per_row = found.groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
-    touched = _filter_of(found.select("k"))
+    touched = filters.of_values(found.select("k"))
 
-    rest_kind = rows.schema["_rest"].dataType.simpleString()
+    kinds = {f.name: f for f in rows.schema}
+    out = StructType([kinds["_rest"], *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType()), StructField("kept", StringType() if as_text else BinaryType())])
 
     def with_runs(batches):
         for b in batches:
-            yield b.filter(pa.array(_in(touched, b.column(0).to_numpy().astype(U64))))
+            yield b.filter(pa.array(touched.has(b.column(0).to_numpy().astype(U64))))
 
     part = rows.select("_k", "_t", "_text", "_rest")
-    joined = part.mapInArrow(with_runs, f"_k long, _t int, _text binary, _rest {rest_kind}").join(per_row, (F.col("_k") == F.col("k")) & (F.col("_t") == F.col("t")), "left").select("_text", "_rest", F.col("_runs.lo").alias("lo"), F.col("_runs.hi").alias("hi"))
+    joined = part.mapInArrow(with_runs, StructType([kinds[n] for n in ("_k", "_t", "_text", "_rest")])).join(per_row, (F.col("_k") == F.col("k")) & (F.col("_t") == F.col("t")), "left").select("_text", "_rest", F.col("_runs.lo").alias("lo"), F.col("_runs.hi").alias("hi"))
 
     def without_runs(batches):
         """Rows that the filter rules out have no runs and are not shuffled."""
         for b in batches:
-            x = b.filter(pa.array(~_in(touched, b.column(0).to_numpy().astype(U64))))
+            x = b.filter(pa.array(~touched.has(b.column(0).to_numpy().astype(U64))))
             none = pa.nulls(len(x), pa.list_(pa.int32()))
             yield from cut([pa.RecordBatch.from_arrays([x.column(2), x.column(3), none, none], names=["_text", "_rest", "lo", "hi"])])
 
@@ -386,7 +364,6 @@ def dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str
                 kept.append(left.decode("utf-8", "ignore") if as_text else left)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string() if as_text else pa.binary())], names=["_rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = f"_rest {rest_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}"
     # one Python worker a task: the two branches are stages of their own
     return joined.mapInArrow(cut, out).unionByName(part.mapInArrow(without_runs, out))
 

@@ -48,3 +48,21 @@ def test_matches_brute_force_on_table(spark, sf):
     got = sorted((tuple(r) for r in op8_suffix_dedup(spark, sf).collect()), key=str)
     assert got == brute(rows)
     assert sum(r[2] for r in got) > 0
+
+
+def test_long_spans_and_odd_names(spark):
+    """Spans whose windows lie more than 255 bytes apart, a clashing column with a space, rows in tasks of their own."""
+    r = random.Random(9)
+    end = "".join(r.choice("abcdefgh ") for _ in range(1500))
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.randrange(900))) + end[r.randrange(300) :]) for i in range(24)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, _k int, _rest int, `a b` int").repartition(24)
+    for span in (50, 270, 400, 600, 700):
+        assert run(df, span) == brute(rows, span), span
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    r = random.Random(2)
+    long = "".join(r.choice("abcdefgh \n") for _ in range(s.CHUNK + 5000))
+    rows = [(1, "x" + long[:4000]), (2, long), (3, long[300_000:300_200] + "z"), (4, long)]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert [x[2] for x in got] == [0, 4000, 200, len(long)] and [x[3] for x in got] == [0, 1, 1, 1]
