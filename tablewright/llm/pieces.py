@@ -2,7 +2,8 @@
 
 A text is marked ("▁" before it and for each space) and cut into marked words, which no piece spans. The distinct words of
 a chunk are sorted, so that they lie in the order of a depth-first walk of their trie: a word takes over the forward
-scores of the prefix that it shares with the word before it, and only the rest is scored. The best way to a position is the
+scores of the prefix that it shares with the word before it, and only the rest is scored. Pieces are kept in a trie of their
+own, spelt backwards: from each end it is walked towards the word's start, as far as any piece goes. The best way to a position is the
 largest sum of piece scores; of equal ones the one with the longest last piece. A file of merged pieces scores them by merge
 rank, which says nothing of probability: -log(100 + rank) stands for it there. Characters outside the vocabulary become their byte pieces.
 
@@ -47,19 +48,26 @@ class Codec:
         raw = {i: sp.get_score(i) for i in plain}
         ranked = all(v == int(v) for v in raw.values())  # merge ranks, not log probabilities
         self.score = {self.pieces[i]: (_by_rank(-v) if ranked else v, i) for i, v in raw.items()}
+        self.ends: dict = {}  # character: [score or None, piece, what comes before]
+        for piece, (v, i) in self.score.items():
+            level = self.ends
+            for c in reversed(piece):
+                node = level.setdefault(c, [None, -1, {}])
+                level = node[2]
+            node[0], node[1] = v, i
+        self.raw = {i: p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
-        self.control = {i for i in range(len(self.pieces)) if sp.is_control(i) or sp.is_unknown(i)}
+        self.raw |= {i: bytes([b]) for i, b in self.of_byte.items()} | {i: b"" for i in range(len(self.pieces)) if sp.is_control(i) or sp.is_unknown(i)}
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece spans words")
-        self.longest = max(map(len, self.score))
         self.unknown = min(s for s, _ in self.score.values()) - 10.0
         self.known: dict[str, bytes] = {}
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words, as little-endian bytes."""
         out: dict[str, bytes] = {}
-        score, longest, unknown = self.score, self.longest, self.unknown
+        ends, unknown = self.ends, self.unknown
         best: list[float] = [0.0]  # forward score at each position of the current word
         back: list[tuple[int, int]] = [(0, -1)]  # where its last piece begins, and the piece
         last = ""
@@ -72,10 +80,12 @@ class Codec:
             del best[same + 1 :], back[same + 1 :]
             for end in range(same + 1, len(w) + 1):
                 top, how = best[end - 1] + unknown, (end - 1, -1)
-                for start in range(max(0, end - longest), end):
-                    got = score.get(w[start:end])
-                    if got is not None and best[start] + got[0] > top:
-                        top, how = best[start] + got[0], (start, got[1])
+                level, start = ends, end
+                while start and (node := level.get(w[start - 1])) is not None:
+                    start -= 1
+                    v, piece, level = node
+                    if v is not None and best[start] + v >= top:  # of equal ones the longest
+                        top, how = best[start] + v, (start, piece)
                 best.append(top)
                 back.append(how)
             ids, at = [], len(w)
@@ -101,7 +111,7 @@ class Codec:
 
     def decode(self, ids: bytes | list[int]) -> str:
         ids = np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids
-        raw = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else self.pieces[i].replace(MARK, " ").encode() for i in ids if i not in self.control)
+        raw = b"".join(map(self.raw.__getitem__, ids))
         return raw.decode("utf-8", "replace")[1:]
 
 
