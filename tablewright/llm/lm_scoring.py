@@ -12,20 +12,20 @@ it does not use, so probabilities add up to at most one.
 All occurrences (context, successor, text) are dealt out by context. A task builds the trie of its contexts from the training
 occurrences: a sorted vocabulary, pointers from each context to its successors, the successors themselves (made
 increasing over all contexts by what the contexts before have used), each level Elias-Fano coded, and 8-bit codes of
-smoothed probabilities. The levels are files that the task maps into memory and unlinks at once. Each distinct occurrence is looked up by a
+smoothed probabilities. The levels lie in anonymous memory maps, which the task gives back when the shard is scored; no file is written. Each distinct occurrence is looked up by a
 successor search relative to its context. Sums of each text go on to a task that has the text's bucket; for held-out texts
 also what only the shards of two neighbouring words know together: p of a word, and that its pair was not seen.
 
 Contexts of a 1/4096th of all tokens or more (a list of 8192 at most) are split over all shards by successor.
 
 Null text: empty, the end alone. A null id is held out or not as crc32 of null is null: it is learnt from. Rows that share an id are told
-apart by their texts, equal rows count and return as often as they occur. An empty table gives an empty result.
+apart by their texts, equal rows count and return as often as they occur. An empty table gives an empty result. Texts of any length are read
+whole. Other columns play no part, whatever their names. The number of shards follows the number of words (PER_SHARD).
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, input_slices, mix, table, text_chunks, word_hashes
+from .common import U64, buckets_for, give_back, mix, release, table, text_chunks, word_hashes
 
 DISCOUNT, ADD, HOT = 0.75, 0.1, 4096
 LOW = U64((1 << 48) - 1)
-FLUSH = 1 << 20
+FLUSH, PER_SHARD = 1 << 18, 1 << 20  # tokens that a task holds back before it sends them, and that meet in a shard
 END = mix(np.array([0x3C2F733E], U64))[0]
 
 
@@ -53,7 +53,7 @@ def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits packed, high parts in unary, in files that are mapped and unlinked.
+    """A non-decreasing sequence: low bits packed, high parts in unary, in memory maps.
 
     next_geq finds the first element from `start` on that reaches a value, by the zeros of the unary part.
     """
@@ -124,11 +124,11 @@ class EliasFano:
 
 
 def _mapped(x: np.ndarray) -> np.ndarray:
-    """The array from a memory-mapped file; the file's name is gone at once, so nothing stays behind."""
-    with tempfile.NamedTemporaryFile(delete=False) as f:
-        f.write(x.tobytes())
-    out = np.memmap(f.name, x.dtype, "r") if len(x) else x
-    os.unlink(f.name)
+    """The array in a memory map of its own, which goes back to the system with it."""
+    if not x.nbytes:
+        return x
+    out = np.frombuffer(mmap.mmap(-1, x.nbytes), x.dtype)
+    out[:] = x
     return out
 
 
@@ -259,6 +259,7 @@ def hot_words(texts: DataFrame, groups: int = 64) -> tuple[np.ndarray, np.ndarra
     if len(hot):
         for r in texts.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # 2 * HOT rows at most
             counts[r["i"]] = r["n"]
+    release(named)
     return hot, counts, total, docs
 
 
@@ -267,11 +268,11 @@ _PACK = "to int, n int, packed binary"
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. train: a boolean column, null counts as true."""
-    shards = input_slices(docs)
     texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k"), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 32).cast("int").alias("t"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k"), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 32).cast("int").bitwiseAND(-2).bitwiseOR(F.col(id_col).isNull().cast("int")).alias("t"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     hot, hot_counts, train_words, train_docs = hot_words(texts)
+    shards = buckets_for(docs, train_words, PER_SHARD)
 
     def hot_index(h: np.ndarray) -> np.ndarray:
         if not len(hot):
@@ -388,6 +389,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 used, j = np.unique(idx[i], return_inverse=True)
                 miss = np.where(seen[i], -2, h[ctx[i]])  # -2: seen; -1: settled back-off; else the split context's index
                 out.append((d, 4, len(i), _z(np.array([len(used)], "<i8"), k[used].astype("<i8"), t[used].astype("<i4"), j.astype("<i4"), pos[i].astype("<i4"), log_c[i].astype("<f4"), miss.astype("<i2"))))
+        give_back()
         return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())], names=["to", "kind", "n", "packed"])
 
     dealt = table(texts.mapInArrow(occurrences, _PACK).groupBy("to").applyInArrow(shard, "to int, kind int, n int, packed binary"), "lm-shards")
@@ -453,7 +455,8 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         got = [base + end_log - n_tokens * scale, lm - uses * scale]
         # with nothing to learn from there is no model; both scores are then those of one unseen token each
         i = inverse.ravel()
-        ids = pa.array(k, mask=k == 2**63 - 1)
+        ids = pa.array(k, mask=(t & 1).astype(bool))
+        give_back()
         return pa.table([ids, pa.array(tr == 0), pa.array(n_tokens[i]), pa.array(np.round(known).astype(np.int64)[i] + (train_docs > 0)), pa.array(np.full(len(k), n_train, np.int64)), pa.array(got[0][i]), pa.array(got[1][i])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return dealt.filter("kind in (0, 3, 4)").groupBy("to").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
