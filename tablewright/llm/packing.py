@@ -6,8 +6,8 @@ fixed first; best-fit decreasing packs what is left. The result is a list of pat
 sequence) with multiplicities; pieces then take the patterns' slots by their rank among those of their
 length, ranked in salted buckets so that no length is counted off by one task.
 
-Null text: empty, a piece of one token. Null ids, ties and repeated rows are pieces like others. An
-empty table gives an empty result.
+Null text: empty, a piece of one token. Null ids, ties and repeated rows are pieces like others. Texts of any
+length are read whole. An empty table gives an empty result. Other columns of documents play no part.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import table
+from .common import table, text_chunks
 
 CAPACITY, END = 1024, 2
 _ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE = 300_000  # words a worker keeps, to bound its memory
+CACHE = 100_000  # words a worker keeps, to bound its memory
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -44,15 +45,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import tiktoken
-        from tokenizers import Tokenizer
-
         import json
 
-        whole = Tokenizer.from_file(path)
+        import tiktoken
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = whole
+        self.path, self.whole = path, None
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         marks = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         chars = {chr(b): b for b in marks} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in marks)}
@@ -74,6 +73,10 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
         known, out = self.known, [self.part(parts[0])]
@@ -97,7 +100,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
 
     def each(batches):
         encode, tail = encoder(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch, _, _ in text_chunks(batches):
             cols: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + tail
@@ -170,7 +173,8 @@ def reduce(count: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
                     count[w] += 1
                     if not second or second < y:
                         break
-                    take(1, w, best, second)
+                    # what fits only gets less, so the same set dominates as long as it can be had
+                    take(int(min(count[x] // (w, best, second).count(x) for x in {w, best, second})), w, best, second)
                 else:
                     break
                 moved = True
@@ -226,8 +230,8 @@ def slots(patterns: list[Pattern]) -> tuple[np.ndarray, ...]:
     return *(np.array([r[k] for r in runs], np.int64) for k in range(5)), np.array(offsets, np.int64)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, per_bucket: int = 20_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length and any more columns)."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, per_bucket: int = 1000, most_buckets: int = 100_000) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32 and any more columns; ones of these two names are replaced)."""
     cut = table(cut, "pieces")
     rows = cut.groupBy("length").count().collect()  # at most `capacity` rows
     count = np.zeros(capacity + 1, np.int64)
@@ -235,20 +239,20 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_bucket: int = 20_000) ->
         count[r["length"]] = r["count"]
     length, first, seq, copies, at, offset = slots(plan(count, capacity))
     key = (length << 44) + first
+    kept = [c for c in cut.columns if c not in ("sequence_id", "offset")]
 
     def place(batches):
         for b in batches:
-            x, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
+            x, rank = b.column("len").to_numpy(), b.column("rank").to_numpy()
             k = np.searchsorted(key, (x << 44) + rank, "right") - 1
             local = rank - first[k]
-            keep = [n for n in b.schema.names if n != "_rank"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(seq[k] + local // copies[k]), pa.array(offset[at[k] + local % copies[k]])], names=[*keep, "sequence_id", "offset"])
-
-    buckets = max(1, int(count.sum()) // per_bucket)
-    salted = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    before = salted.groupBy("length", "_b").count().withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-    ranked = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = ranked.join(before, ["length", "_b"]).withColumn("_rank", (F.col("_n") - 1 + F.coalesce("_before", F.lit(0))).cast("long"))
-    names = cut.columns
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.select(*names, "_rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(seq[k] + local // copies[k]), pa.array(offset[at[k] + local % copies[k]])], names=["row", "sequence_id", "offset"])
+
+    # a length has buckets for its number of pieces, so none is counted off by one task
+    many = F.array(*(F.lit(max(1, int(c) // max(per_bucket, int(count.sum()) // most_buckets))) for c in count))
+    salted = cut.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("length").alias("len")).withColumn("bucket", F.pmod(F.xxhash64("row.doc_id", "row.piece"), F.get(many, F.col("len").cast("int"))))
+    before = salted.groupBy("len", "bucket").count().withColumn("before", F.sum("count").over(Window.partitionBy("len").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
+    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("len", "bucket").orderBy("row.doc_id", "row.piece", "row.ids_crc32")))
+    ranked = ranked.join(before, ["len", "bucket"]).select("row", "len", (F.col("nth") - 1 + F.coalesce("before", F.lit(0))).cast("long").alias("rank"))
+    out = StructType([ranked.schema["row"], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return ranked.mapInArrow(place, out).select("row.*", "sequence_id", "offset")

@@ -101,3 +101,27 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(i, t, 5) for i, t in texts], "doc_id long, text string, length int")
     check(p.pack(p.pieces(df, p.vocabulary())).collect(), texts, 1024)
     assert p.pack(p.pieces(df.limit(0), p.vocabulary())).count() == 0
+
+
+def test_many_pieces_take_few_steps():
+    """What is fixed is fixed for all equal sets at once, however many pieces there are."""
+    count = np.zeros(1025, np.int64)
+    count[[300, 310, 320, 330, 400, 410]] = 10**9
+    fixed = p.reduce(count.copy())
+    assert len(fixed) < 100
+    whole = p.plan(count)
+    used = np.zeros(1025, np.int64)
+    for n, lengths in whole:
+        used[list(set(lengths))] += [n * lengths.count(x) for x in set(lengths)]
+    assert (used == count).all() and len(whole) < 100
+
+
+def test_clashing_columns_and_hot_length(spark):
+    rows = [(i // 3, i % 3, 0, 5 if i % 4 else 700, i, "a", "b", 1, 2, 3) for i in range(900)]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, row string, `a b` string, bucket int, rank int, sequence_id int")
+    got = p.pack(cut, per_bucket=50).toPandas()
+    assert list(got.columns) == ["doc_id", "piece", "start", "length", "ids_crc32", "row", "a b", "bucket", "rank", "sequence_id", "offset"]
+    assert len(got) == 900 and (got["a b"] == "b").all()
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert (g.offset.to_numpy() == np.r_[0, np.cumsum(g.length)[:-1]]).all() and g.length.sum() <= 1024
