@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+PER_FILE = 250_000
 U64 = np.uint64
 
 
@@ -40,10 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it: what follows no longer depends on lost executors."""
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and rereads it: what follows no longer depends on lost executors.
+
+    rows: about how many there are, if they are short and known: a task then writes PER_FILE of them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tablewright/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, rows // PER_FILE))
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
