@@ -37,7 +37,8 @@ from .common import U64, buckets_for, give_back, mix, release, table, text_chunk
 
 DISCOUNT, ADD, HOT = 0.75, 0.1, 4096
 LOW = U64((1 << 48) - 1)
-FLUSH, PER_SHARD = 1 << 18, 1 << 20  # tokens that a task holds back before it sends them, and that meet in a shard
+FLUSH, PER_SHARD = 1 << 22, 3 << 20  # tokens that a task holds back before it sends them, and that meet in a shard
+BASE_BITS, MODEL_BITS = 20, 16  # binary places of partial sums on their way to a text; model probabilities have 8 bits anyway
 END = mix(np.array([0x3C2F733E], U64))[0]
 
 
@@ -195,6 +196,17 @@ def _wide(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(U64)
 
 
+def _planes(x: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers to 2**-bits, as byte planes: the high ones are nearly empty."""
+    v = np.round(x * (1 << bits)).astype(np.int64)
+    return np.ascontiguousarray(((v << 1) ^ (v >> 63)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_planes(raw: np.ndarray, bits: int) -> np.ndarray:
+    v = np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+    return ((v >> U64(1)).astype(np.int64) ^ -(v & U64(1)).astype(np.int64)) / (1 << bits)
+
+
 class _Reader:
     def __init__(self, raw: bytes):
         self.raw, self.at = zstandard.ZstdDecompressor().decompress(raw), 0
@@ -282,50 +294,56 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     def occurrences(batches):
         """For each shard: contexts, successors, texts, and places in held-out texts. For each text bucket: its texts."""
-        held: list[list] = []
+        held: list[list] = [[] for _ in range(5)]
 
         def flush():
-            base, cols = 0, [[] for _ in range(5)]
-            docs_ = [np.concatenate([h[j] for h in held]) for j in range(4)]
-            for h in held:
-                for c, v in zip(cols, (h[4], h[5], h[6] + base, h[7], h[8]), strict=True):
-                    c.append(v)
-                base += len(h[0])
-            a, b, row, pos, _ = (np.concatenate(c) for c in cols)
-            k, t, tr, n_words = docs_
+            k, t, tr, n_words = (np.concatenate(c) for c in held[:4])
+            h = np.concatenate(held[4])
+            for c in held:
+                c.clear()
+            row = np.repeat(np.arange(len(k), dtype=np.int32), n_words)
+            begin = np.cumsum(n_words) - n_words
             out: list[tuple[int, int, bytes]] = []
             for bucket, i in _split((mix(k.astype(U64)) % U64(shards)).astype(np.int64), shards):
                 out.append((-1 - bucket, len(i), _z(k[i].astype("<i8"), t[i].astype("<i4"), tr[i].astype(np.uint8), n_words[i].astype("<i4"))))
-            hi = hot_index(a)
-            to = np.where(hi >= 0, mix(b) >> U64(48), a >> U64(48)).astype(np.int64) % shards
+
+            def following(i: np.ndarray) -> np.ndarray:
+                after = np.minimum(i + 1, len(h) - 1)
+                return np.where((after > i) & (row[after] == row[i]), h[after], END)
+
+            to = np.empty(len(h), np.int32)
+            for lo in range(0, len(h), 1 << 18):
+                part = h[lo : lo + (1 << 18)]
+                to[lo : lo + len(part)] = (part >> U64(48)).astype(np.int64) % shards
+                i = np.flatnonzero(hot_index(part) >= 0) + lo
+                to[i] = (mix(following(i)) >> U64(48)).astype(np.int64) % shards
             for bucket, i in _split(to, shards):
-                i = i[np.argsort(a[i], kind="stable")]
-                g = _runs(a[i])
+                i = i[np.argsort(h[i], kind="stable")]
+                a, pos = h[i], i - begin[row[i]]
+                g = _runs(a)
                 used, idx = np.unique(row[i], return_inverse=True)
                 far = np.flatnonzero(tr[row[i]] == 0)
-                firsts = np.flatnonzero(pos[i] == 0)
+                firsts = np.flatnonzero(pos == 0)
+                after, which = np.unique(following(i) & LOW, return_inverse=True)
                 raw = _z(
-                    np.array([len(g), len(used), len(far), len(firsts)], "<i8"), _six(a[i][g] & LOW), (a[i][g] >> U64(48)).astype("<u2"), np.diff(g, append=len(i)).astype("<i4"), _six(b[i] & LOW), idx.astype("<i4"),
-                    k[used].astype("<i8"), t[used].astype("<i4"), tr[used].astype(np.uint8), far.astype("<i4"), pos[i][far].astype("<i4"), firsts.astype("<i4"),
+                    np.array([len(g), len(used), len(far), len(firsts), len(after)], "<i8"), _six(a[g] & LOW), (a[g] >> U64(48)).astype("<u2"), np.diff(g, append=len(i)).astype("<i4"),
+                    _six(after), (which & 0xFFFF).astype("<u2"), (which >> 16).astype("<u2"), idx.astype("<i4"), np.diff(k[used], prepend=0).astype("<i8"), t[used].astype("<i4"), tr[used].astype(np.uint8),
+                    far.astype("<i4"), pos[far].astype("<i4"), firsts.astype("<i4"),
                 )
                 out.append((bucket, len(i), raw))
-            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["to", "n", "packed"])
 
         size = 0
         for rows, data, offs in text_chunks(batches, "text"):
             h, row = word_hashes(data, offs)
-            b = np.append(h[1:], END)[: len(h)]
-            if len(h):
-                b[np.append(row[1:] != row[:-1], True)] = END
-            n_words = np.bincount(row, minlength=len(rows))
-            pos = np.arange(len(h)) - (np.cumsum(n_words) - n_words)[row]
-            held.append([rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy(zero_copy_only=False).astype(np.uint8), n_words, h, b, row, pos, pos])
+            for c, v in zip(held, (rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy(zero_copy_only=False).astype(np.uint8), np.bincount(row, minlength=len(rows)), h), strict=True):
+                c.append(v.copy())
             size += len(h) + len(rows)
             if size > FLUSH:
                 yield flush()
+                give_back()
                 size = 0
-        if held:
+        if held[0]:
             yield flush()
 
     def shard(key, group):
@@ -339,11 +357,13 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             n_docs = 0
             for n, packed in zip(group.column("n").to_pylist(), group.column("packed").to_pylist(), strict=True):
                 r = _Reader(packed)
-                g, m, far, firsts = r.take("<i8", 4).tolist()
+                g, m, far, firsts, after = r.take("<i8", 5).tolist()
                 a = _wide(r.take(np.uint8, 6 * g).tobytes()) | (r.take("<u2", g).astype(U64) << U64(48))
                 a = np.repeat(a, r.take("<i4", g))
-                b, idx = _wide(r.take(np.uint8, 6 * n).tobytes()), r.take("<i4", n).astype(np.int64) + n_docs
-                for w, x in zip(who, (r.take("<i8", m), r.take("<i4", m), r.take(np.uint8, m)), strict=True):
+                words = _wide(r.take(np.uint8, 6 * after).tobytes())
+                b = words[r.take("<u2", n) | (r.take("<u2", n).astype(np.uint32) << 16)]
+                idx = r.take("<i4", n) + np.int32(n_docs)
+                for w, x in zip(who, (np.cumsum(r.take("<i8", m)), r.take("<i4", m), r.take(np.uint8, m)), strict=True):
                     w.append(x)
                 pos = np.full(n, -1, np.int32)  # in held-out texts only
                 at = r.take("<i4", far)
@@ -353,10 +373,15 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 for p, x in zip(parts, (a, b, idx, pos, first), strict=True):
                     p.append(x)
                 n_docs += m
-            a, b, idx, pos, first = (np.concatenate(p) for p in parts)
+            for j in range(5):  # one column at a time, to hold none twice
+                parts[j] = np.concatenate(parts[j])
             k, t, tr = (np.concatenate(w) for w in who)
-            order = np.lexsort((b, a))
-            a, b, idx, pos, first = (x[order] for x in (a, b, idx, pos, first))
+            give_back()
+            order = np.lexsort((parts[1], parts[0])).astype(np.int32)
+            for j in range(5):
+                parts[j] = parts[j][order]
+            a, b, idx, pos, first = parts
+            del order, parts
             learnt = tr[idx].astype(np.int64)
             g, p = _runs(a), np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             own = np.add.reduceat(learnt, g)  # training count of each context in this shard
@@ -372,7 +397,8 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             out.append((-1, 1, len(hots), _z(h[hots].astype("<i8"), types[hots].astype("<i8"))))
             out.append((-1, 2, int((own[h < 0] > 0).sum()), b""))
             size = np.diff(p, append=len(a))
-            ctx, seen, value, known = np.repeat(of, size), np.repeat(seen, size), np.repeat(value, size), np.repeat(known, size)
+            del a, b
+            ctx, seen, value = np.repeat(of.astype(np.int32), size), np.repeat(seen, size), np.repeat(value, size)
             log_c = np.log10(total + ADD)[ctx]
             is_hot = h[ctx] >= 0
             # a split context's back-off is known only when all shards are done; so is whether it was seen at all
@@ -382,7 +408,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             n_known = np.bincount(idx, (total > 0)[ctx], n_docs).astype(np.int64)
             dest = (mix(k.astype(U64)) % U64(shards)).astype(np.int64)
             for d, i in _split(dest, shards):
-                out.append((d, 3, len(i), _z(k[i].astype("<i8"), t[i].astype("<i4"), base[i].astype("<f8"), lm[i].astype("<f8"), n_known[i].astype("<i4"))))
+                out.append((d, 3, len(i), _z(np.diff(k[i], prepend=0).astype("<i8"), t[i].astype("<i4"), _planes(base[i], BASE_BITS), _planes(lm[i], MODEL_BITS), n_known[i].astype("<i4"))))
             f = np.flatnonzero(tr[idx] == 0)
             for d, i in _split(dest[idx[f]], shards):
                 i = f[i]
@@ -414,7 +440,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             if kind == 0:
                 cols, to = [r.take(x, n) for x in ("<i8", "<i4", np.uint8, "<i4")], head
             elif kind == 3:
-                cols, to = [r.take(x, n) for x in ("<i8", "<i4", "<f8", "<f8", "<i4")], sums
+                cols, to = [np.cumsum(r.take("<i8", n)), r.take("<i4", n), *(_from_planes(r.take(np.uint8, 8 * n), bits) for bits in (BASE_BITS, MODEL_BITS)), r.take("<i4", n)], sums
             else:
                 m = int(r.take("<i8", 1)[0])
                 k, t = r.take("<i8", m), r.take("<i4", m)
