@@ -4,12 +4,17 @@ A word (a run of letters, digits and non-ASCII characters) enters as two vectors
 unknown one), and the mean of its character trigrams' vectors. Windows of WINDOW words that overlap by
 WINDOW - STRIDE cover the whole text; a GRU runs over each in both directions, attention pools its
 states, and a linear layer gives the window's log odds. A document's log odds pool its windows' by a soft maximum, in
-training as in scoring, so labels of documents are enough.
+training as in scoring, so labels of documents are enough. The first coordinate of a word's own vector starts as what the
+training texts with and without it say (a z-score); the rest, and all after, is learnt.
+
+Training takes at most `per_class` toxic and twice as many other labelled texts of any length (smallest hash of id first), and
+of these at most BUDGET bytes in that order; of a text of more than MOST bytes, pieces of equal length spread evenly over it
+with MOST bytes together. That is a documented bound; scoring takes every window of every text, however long.
+The curve from log odds to probability comes from cross-fitting: each half of the training texts is scored by a network of the other.
 
-Training takes at most `per_class` toxic and twice as many other labelled texts of at most `max_words` words
-(smallest hash of id first), a documented bound; scoring takes every window of every text.
 Null or empty text: one window of no words. Documents without a label are scored only; with fewer than two classes to
-learn from, every score is the share of label 1 (0.5 without labels). Repeated rows are scored alike.
+learn from, every score is the share of label 1 (0.5 without labels). Null ids have no label. Repeated rows are scored alike, a score
+equal to the threshold counts as toxic, an empty table gives an empty result, other columns play no part whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Spans, mix, spans_outside, text_chunks
+from .common import U64, Spans, mix, release, spans_outside, table, text_chunks
 
 WINDOW, STRIDE = 24, 18
+MOST, BUDGET, PIECES = 1 << 18, 16 << 20, 64
 WORD_DIM, CHAR_DIM, HIDDEN, CHAR_ROWS = 10, 6, 8, 4096
 #: What separates words: white space and all ASCII marks, so that marks around a word do not hide it.
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -160,7 +166,7 @@ def backward(w: dict, x: np.ndarray, at: np.ndarray, cache, d_logit: np.ndarray)
 
 
 def pool(logit: np.ndarray, of: np.ndarray, n_texts: int, sharp: float) -> tuple[np.ndarray, np.ndarray]:
-    """Soft maximum of each text's windows (log of the mean exponential), and each window's share in it."""
+    """Soft maximum of each text's windows (log of the summed exponentials, so that many windows weigh more), and each window's share in it."""
     top = np.full(n_texts, -np.inf, np.float32)
     np.maximum.at(top, of, logit)
     e = np.exp(sharp * (logit - top[of]))
@@ -175,41 +181,55 @@ def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), offs
 
 
-def train(texts: list[str], labels: list[int], min_docs: int = 4, epochs: int = 6, least_steps: int = 300, per_batch: int = 48, rate: float = 0.02, seed: int = 3) -> Network:
-    """Adam on the documents' log loss, classes weighted alike; then a logistic curve on the pooled log odds restores the true odds."""
-    seen: Counter = Counter()
-    for x in texts:
+def train(texts: list[str], labels: list[int], min_docs: int = 4, epochs: int = 6, least_steps: int = 150, per_batch: int = 48, most_windows: int = 6000, rate: float = 0.02, decay: float = 0.02, drop: float = 0.1, seed: int = 3) -> Network:
+    """Adam on the documents' log loss, classes weighted alike. A batch has per_batch texts, fewer if they have many windows.
+
+    Weights but the first coordinate of words decay; words lose their own vector at random, so that none is learnt alone.
+    """
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    size = []
+    for x, label in zip(texts, labels, strict=True):
         data, offs = _buffer([x])
         start, end, _ = spans_outside(_BETWEEN, data, offs)
-        seen.update(np.unique(Spans(data, lower=True).hash(start, end)).tolist())
+        seen[label].update(np.unique(Spans(data, lower=True).hash(start, end)).tolist())
+        size.append(1 + len(start) // STRIDE)
     often = max(min_docs, len(texts) // 250)
-    net = fresh(np.array(sorted(h for h, n in seen.items() if n >= often), U64), seed)
-    w, y = net.weights, np.array(labels, np.float32)
+    y = np.array(labels, np.float32)
+    net = fresh(np.array(sorted(h for h in seen[0].keys() | seen[1].keys() if seen[0][h] + seen[1][h] >= often), U64), seed)
+    w, size = net.weights, np.array(size)
+    n = [np.array([c[h] for h in net.words.tolist()], float) for c in seen]
+    of = [float((y == k).sum()) for k in (0, 1)]
+    odds = [np.log((n[k] + 0.5) / (of[k] - n[k] + 0.5)) for k in (0, 1)]
+    w["word"][1:, 0] = np.clip((odds[1] - odds[0]) / np.sqrt(1 / (n[0] + 0.5) + 1 / (n[1] + 0.5)) / 3, -2, 2)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
     m, v, step, rng = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0, np.random.default_rng(seed)
     epochs = max(epochs, -(-least_steps // max(1, -(-len(texts) // per_batch))))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
-        for lo in range(0, len(order), per_batch):
-            pick = order[lo : lo + per_batch]
-            own, gram, begins, n, inverse, row = inputs(net, *_buffer([texts[i] for i in pick]))
-            at, of = windows(row, len(pick))
-            x = vectors(w, own, gram, begins, n)
+        batch = np.maximum(np.cumsum(size[order]) // most_windows, 0) * len(order) + np.arange(len(order)) // per_batch
+        for pick in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+            own, gram, begins, n_grams, inverse, row = inputs(net, *_buffer([texts[i] for i in pick]))
+            own = np.where(rng.random(len(own)) < drop, 0, own)
+            at, part_of = windows(row, len(pick))
+            x = vectors(w, own, gram, begins, n_grams)
             at = np.where(at < 0, len(x) - 1, np.append(inverse, len(x) - 1)[at])
             logit, cache = forward(w, x, at, keep=True)
-            doc, part = pool(logit, of, len(pick), net.sharp)
+            doc, part = pool(logit, part_of, len(pick), net.sharp)
             d_doc = ((_sigmoid(doc) - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            g, d_x = backward(w, x, at, cache, (d_doc[of] * part).astype(np.float32))
+            g, d_x = backward(w, x, at, cache, (d_doc[part_of] * part).astype(np.float32))
             g["word"], g["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
             np.add.at(g["word"], own, d_x[:-1, :WORD_DIM])
-            if len(n):
-                np.add.at(g["char"], gram, np.repeat(d_x[:-1, WORD_DIM:] / n[:, None], n, axis=0))
+            if len(n_grams):
+                np.add.at(g["char"], gram, np.repeat(d_x[:-1, WORD_DIM:] / n_grams[:, None], n_grams, axis=0))
             step += 1
             scale = rate * (1 - epoch / epochs * 0.8)
             for k in w:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                w[k] -= (scale * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
+                less = scale * decay * w[k]
+                if k == "word":
+                    less[:, 0] = 0
+                w[k] -= (less + scale * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
     return net
 
 
@@ -234,32 +254,54 @@ def curve(odds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_words: int = 800, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """labels: doc_id, label (0 or 1). At most 3 * per_class texts of max_words words reach the driver."""
+def spread(text: bytes, most: int = MOST, pieces: int = PIECES) -> bytes:
+    """The text, or pieces of it with `most` bytes together, evenly spread, where it has more."""
+    if len(text) <= most:
+        return text
+    each = most // pieces
+    return b" ".join(text[a : a + each] for a in np.linspace(0, len(text) - each, pieces).astype(int))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Network:
+    """labels: doc_id, label (0 or 1). At most 3 * per_class texts and BUDGET bytes reach the driver."""
     known = labels.filter("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Network(np.zeros(0, U64), share=float(counts.get(1, 0) / sum(counts.values())) if counts else 0.5)
-    hashed = known.withColumn("_h", F.xxhash64("doc_id"))
-    chosen = None
-    for k in (0, 1):  # twice as many as needed, as long texts are passed over
-        part = hashed.filter(F.col("label") == k).orderBy("_h", "doc_id").limit(2 * per_class * (2 - k))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").filter(F.size(F.split("text", "[\\x20\\x09-\\x0D]+", max_words + 2)) <= max_words)  # the chosen ids are 6 * per_class at most
+    hashed = known.withColumn("h", F.xxhash64("doc_id"))
+    # twice as many as needed: a label's document may be gone
+    parts = [hashed.filter(F.col("label") == k).orderBy("h", "doc_id").limit(2 * per_class * (2 - k)) for k in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 6 * per_class rows at most
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+    def cut(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([spread(x) for x in b.column(3).to_pylist()], pa.binary())], names=["doc_id", "h", "label", "text"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = table(texts.join(chosen, "doc_id").select("doc_id", "h", "label", "text").mapInArrow(cut, f"doc_id {kind}, h long, label int, text binary"), "toxicity-texts")
     rows = []
     for k in (0, 1):
-        rows += found.filter(F.col("label") == k).orderBy("_h", "doc_id", "text").limit(per_class * (2 - k)).select("text", "label").collect()
-    if len({r["label"] for r in rows}) < 2:
+        left = BUDGET * (2 - k) // 3
+        for r in found.filter(F.col("label") == k).orderBy("h", "doc_id", "text").limit(per_class * (2 - k)).toLocalIterator():
+            left -= len(r["text"])
+            if left < 0:
+                break
+            rows.append((bytes(r["text"]).decode("utf-8", "replace"), k))
+    release(found)
+    text, y = [r[0] for r in rows], np.array([r[1] for r in rows])
+    if min((y == k).sum() for k in (0, 1)) < 2:
         return Network(np.zeros(0, U64), share=float(counts[1] / sum(counts.values())))
-    text, y = [r["text"] for r in rows], np.array([r["label"] for r in rows])
-    hold = np.arange(len(rows)) % 5 == 0
-    net = train([t for t, h in zip(text, hold, strict=True) if not h], y[~hold].tolist())
-    use = hold if 0 < y[hold].sum() < hold.sum() else ~hold
-    odds = np.concatenate([log_odds(net, *_buffer([t])) for t, h in zip(text, use, strict=True) if h])
+    half = np.zeros(len(y), int)
+    for k in (0, 1):
+        half[y == k] = np.arange((y == k).sum()) % 2
+    odds = np.zeros(len(y))
+    for side in (0, 1):
+        part = train([t for t, h in zip(text, half, strict=True) if h == side], y[half == side].tolist())
+        odds[half != side] = np.concatenate([log_odds(part, *_buffer([t])) for t, h in zip(text, half, strict=True) if h != side])
     total = sum(counts.values())
-    weight = np.where(y[use] == 1, counts[1] / total / max((y[use] == 1).mean(), 1e-9), counts[0] / total / max((y[use] == 0).mean(), 1e-9))
-    net.curve = curve(odds, y[use], weight)
+    net = train(text, y.tolist())
+    net.curve = curve(odds, y, np.where(y == 1, counts[1] / total / (y == 1).mean(), counts[0] / total / (y == 0).mean()))
     return net
 
 
