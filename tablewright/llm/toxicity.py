@@ -147,7 +147,7 @@ def backward(w: dict, x: np.ndarray, at: np.ndarray, cache, d_logit: np.ndarray)
     d_x = np.zeros_like(x)
     for d, side in enumerate("fb"):
         rec = w[f"{side}_rec"]
-        d_proj, d_rec, carry = np.zeros((len(x), 3 * h), np.float32), np.zeros_like(rec), np.zeros((len(at), h), np.float32)
+        d_proj, d_rec, carry, steps = np.zeros((len(x), 3 * h), np.float32), np.zeros_like(rec), np.zeros((len(at), h), np.float32), []
         for s, i, state, zr, c, rc, gate in reversed(saved):
             if s != side:
                 continue
@@ -159,7 +159,11 @@ def backward(w: dict, x: np.ndarray, at: np.ndarray, cache, d_logit: np.ndarray)
             d_lin = np.hstack([d_z, d_r, d_c * r])
             d_rec += state.T @ d_lin
             carry = dn * (1 - gate) + d_lin @ rec.T
-            np.add.at(d_proj, at[:, i], np.hstack([d_z, d_r, d_c]))
+            steps.append((at[:, i], np.hstack([d_z, d_r, d_c])))
+        word = np.concatenate([s[0] for s in steps])
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.diff(word[order], prepend=-1))
+        d_proj[word[order][first]] = np.add.reduceat(np.concatenate([s[1] for s in steps])[order], first)
         g[f"{side}_rec"], g[f"{side}_in"], g[f"{side}_b"] = d_rec, x.T @ d_proj, d_proj.sum(0)
         d_x += d_proj @ w[f"{side}_in"].T
     return g, d_x
@@ -174,6 +178,11 @@ def pool(logit: np.ndarray, of: np.ndarray, n_texts: int, sharp: float) -> tuple
     return top + np.log(np.maximum(total, 1e-30)) / sharp, e / total[of]
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows that go to each of n places."""
+    return np.column_stack([np.bincount(at, rows[:, j], n) for j in range(rows.shape[1])]).astype(np.float32)
+
+
 def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [(x or "").encode() for x in texts]
     offs = np.zeros(len(raw) + 1, np.int64)
@@ -217,10 +226,8 @@ def train(texts: list[str], labels: list[int], min_docs: int = 4, epochs: int =
             doc, part = pool(logit, part_of, len(pick), net.sharp)
             d_doc = ((_sigmoid(doc) - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
             g, d_x = backward(w, x, at, cache, (d_doc[part_of] * part).astype(np.float32))
-            g["word"], g["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
-            np.add.at(g["word"], own, d_x[:-1, :WORD_DIM])
-            if len(n_grams):
-                np.add.at(g["char"], gram, np.repeat(d_x[:-1, WORD_DIM:] / n_grams[:, None], n_grams, axis=0))
+            g["word"] = _sums(own, d_x[:-1, :WORD_DIM], len(w["word"]))
+            g["char"] = _sums(gram, np.repeat(d_x[:-1, WORD_DIM:] / n_grams[:, None], n_grams, axis=0), CHAR_ROWS)
             step += 1
             scale = rate * (1 - epoch / epochs * 0.8)
             for k in w:
