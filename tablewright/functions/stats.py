@@ -1,7 +1,7 @@
 """Column expressions and grouped statistics: missing values, Hazen percentiles, ranks, correlations.
 
-Missing is NULL; `known` turns NaN into it at the edge. Grouped order statistics first count equal values, so what is
-sorted is distinct values, and a group of many ties costs no more than one of few.
+Missing is NULL; `known` turns NaN into it at the edge. Order statistics first count equal values, so a group of many ties
+costs no more than one of few; distinct values are then ordered in buckets (order.py), so that no task sees all of a group.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def known(c: Column | str) -> Column:
     """NULL for NaN."""
@@ -50,8 +52,7 @@ def normal_pdf(x: Column, mean: float = 0.0, sd: float = 1.0) -> Column:
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values of each group with count n, cumulative count cum, and group size total."""
     one = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys)
-    return one.withColumns({"cum": F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(w)})
+    return running(one, keys, value, {"cum": ("sum", F.col("n"))}, totals={"total": F.col("n")})
 
 
 def hazen(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -76,6 +77,5 @@ def tied_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "r") ->
 def auc(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """keys, auc: positive labels against negative ones, ties half; from distinct scores."""
     one = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull() & (F.col(label) != 0)).groupBy(*keys, score).agg(F.sum((F.col(label) > 0).cast("long")).alias("_p"), F.sum((F.col(label) < 0).cast("long")).alias("_m"))
-    below = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = one.withColumn("won", F.col("_p") * (below + F.col("_m") / 2))
+    won = running(one, keys, score, {"_upto": ("sum", F.col("_m"))}).withColumn("won", F.col("_p") * (F.col("_upto") - F.col("_m") / 2))
     return won.groupBy(*keys).agg(ratio(F.sum("won"), F.sum("_p") * F.sum("_m")).alias("auc"))

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import running
+
 
 def bin_of(p: Column, bins: int = 10) -> Column:
     """Equal-width bins from 0, the last one closed; products are rounded at 9 digits so that edges do not move."""
@@ -31,8 +33,7 @@ def maximum_error(df: DataFrame, label: str, prob: str, groups: int = 10) -> Dat
     Counts of equal pairs are what is ordered; a pair that spans a border is split by its count.
     """
     one = df.groupBy(prob, label).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(prob, label).rowsBetween(Window.unboundedPreceding, 0)
-    runs = one.withColumns({"end": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy())}).withColumn("start", F.col("end") - F.col("n"))
+    runs = running(one, [], prob, {"end": ("sum", F.col("n"))}, [label], totals={"total": F.col("n")}).withColumn("start", F.col("end") - F.col("n"))
     base, extra = F.floor(F.col("total") / groups), F.col("total") % groups
     cut = lambda g: g * base + F.least(g, extra)
     split = runs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("m", F.least("end", cut(F.col("g") + 1)) - F.greatest("start", cut(F.col("g")))).filter("m > 0")

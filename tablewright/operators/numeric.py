@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import running
 from ..functions import stats
 
 
@@ -48,8 +49,7 @@ def rank_against(df: DataFrame, value: str, reference: DataFrame, ref_value: str
     """Percentile rank of each value within a reference column: distinct values of both are merged in one order."""
     ref = reference.filter(F.col(ref_value).isNotNull()).groupBy(F.col(ref_value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     both = ref.unionByName(df.select(F.col(value).alias("_v")).filter("_v is not null").distinct().withColumn("_n", F.lit(0).cast("long"))).groupBy("_v").agg(F.sum("_n").alias("_n"))
-    w = Window.orderBy("_v")
-    pr = both.select("_v", (100 * (F.sum("_n").over(w) - F.col("_n") / 2) / F.sum("_n").over(Window.partitionBy())).alias(out))
+    pr = running(both, [], "_v", {"_upto": ("sum", F.col("_n"))}, totals={"_all": F.col("_n")}).select("_v", (100 * (F.col("_upto") - F.col("_n") / 2) / F.col("_all")).alias(out))
     return df.join(pr, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
@@ -57,7 +57,7 @@ def positions(df: DataFrame, value: str, table: DataFrame, table_value: str, out
     """How many table values are at or below each value."""
     t = table.groupBy(F.col(table_value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     both = t.unionByName(df.select(F.col(value).alias("_v")).distinct().withColumn("_n", F.lit(0).cast("long"))).groupBy("_v").agg(F.sum("_n").alias("_n"))
-    pos = both.select("_v", F.sum("_n").over(Window.orderBy("_v")).alias(out))
+    pos = running(both, [], "_v", {out: ("sum", F.col("_n"))}).select("_v", out)
     return df.join(pos, F.col(value) == F.col("_v"), "left").drop("_v")
 
 

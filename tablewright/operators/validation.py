@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import running
 from ..functions import special, stats
 
 
@@ -24,7 +25,7 @@ def stratified_folds(df: DataFrame, row_id: str, strata: Sequence[str], k: int,
 
 
 def leave_group_out(df: DataFrame, group: str) -> DataFrame:
-    g = df.select(group).distinct().withColumn("fold", F.row_number().over(Window.orderBy(group)) - 1)
+    g = running(df.select(group).distinct(), [], group, {"fold": ("sum", F.lit(1))}).withColumn("fold", (F.col("fold") - 1).cast("int"))
     return df.join(g, group)
 
 
@@ -48,16 +49,14 @@ def fdr(df: DataFrame, p: str, tie: str, out: str = "adjusted", dependent: bool
     m = F.col("total")
     harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), m), F.lit(0.0), lambda a, i: a + 1 / i) if dependent else F.lit(1.0)
     raw = F.col(p) * m * harmonic / F.col("cum")
-    adj = v.withColumn("_raw", raw).select(p, F.least(F.lit(1.0), F.min("_raw").over(Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))).alias(out))
+    adj = running(v.withColumn("_raw", raw), [], p, {"_least": ("min", F.col("_raw"))}, descending=True).select(p, F.least(F.lit(1.0), F.col("_least")).alias(out))
     return df.join(adj, p)
 
 
 def holm(df: DataFrame, p: str, tie: str, out: str = "adjusted") -> DataFrame:
     """Step-down p (m - i + 1): a running maximum, at most 1."""
-    w = Window.orderBy(p, tie)
-    raw = F.col(p) * (F.count(F.lit(1)).over(Window.partitionBy()) - F.row_number().over(w) + 1)
-    x = df.withColumn("_raw", raw)
-    return x.withColumn(out, F.least(F.lit(1.0), F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
+    x = running(df, [], p, {"_place": ("sum", F.lit(1))}, [tie], totals={"_n": F.lit(1)}).withColumn("_raw", F.col(p) * (F.col("_n") - F.col("_place") + 1))
+    return running(x, [], p, {"_most": ("max", F.col("_raw"))}, [tie]).withColumn(out, F.least(F.lit(1.0), F.col("_most"))).drop("_raw", "_place", "_n", "_most")
 
 
 def fisher_combine(df: DataFrame, keys: Sequence[str], p: str) -> DataFrame:

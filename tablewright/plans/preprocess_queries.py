@@ -26,9 +26,9 @@ P = f"(SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s, min(c_acctbal) A
 for _mode, _sql in ((1, "(x-lo)/(hi-lo)"), (2, "2*(x-lo)/(hi-lo)-1"), (3, "x/greatest(abs(lo),abs(hi))")):
     q(f"scale_mode_{_mode}", f"SELECT c_custkey, round({_sql},9) AS x FROM {X}, {P}")(lambda t, m=_mode: p.scale(cust(t), train(t), ["x"], m).select("c_custkey", F.round("x", 9).alias("x")))
 q("scale_revert", f"SELECT c_custkey, round(x,6) AS x FROM {X}")(lambda t: p.scale(cust(t).withColumn("lo", F.lit(-1000.0)), cust(t), ["x"], 2).join(F.broadcast(t(C).agg(F.min("c_acctbal").alias("a"), F.max("c_acctbal").alias("b"))), F.lit(True)).select("c_custkey", F.round((F.col("x") / 2 + 0.5) * (F.col("b") - F.col("a")) + F.col("a"), 6).alias("x")))
-q("standardise_mean", f"SELECT c_custkey, round((x-m)/s,6) AS x FROM {X}, {P}")(lambda t: p.standardise(cust(t), train(t), "x").select("c_custkey", F.round("x", 6).alias("x")))
+q("standardise_mean", f"SELECT c_custkey, round(round((x-m)/s,9),6) AS x FROM {X}, {P}")(lambda t: p.standardise(cust(t), train(t), "x").select("c_custkey", F.round("x", 6).alias("x")))
 _IQR = f"(SELECT l[floor(n*0.25+0.5)::INT]+(l[floor(n*0.25+0.5)::INT+1]-l[floor(n*0.25+0.5)::INT])*(n*0.25+0.5-floor(n*0.25+0.5)) AS a, l[floor(n*0.75+0.5)::INT]+(l[floor(n*0.75+0.5)::INT+1]-l[floor(n*0.75+0.5)::INT])*(n*0.75+0.5-floor(n*0.75+0.5)) AS b FROM (SELECT list_sort(list(c_acctbal)) AS l, count(*)::DOUBLE AS n FROM customer WHERE {TRAIN}))"
-q("standardise_median", f"SELECT c_custkey, round((x-med)/(b-a),6) AS x FROM {X}, {P}, {_IQR}")(lambda t: p.standardise(cust(t), train(t), "x", "median").select("c_custkey", F.round("x", 6).alias("x")))
+q("standardise_median", f"SELECT c_custkey, round(round((x-med)/(b-a),9),6) AS x FROM {X}, {P}, {_IQR}")(lambda t: p.standardise(cust(t), train(t), "x", "median").select("c_custkey", F.round("x", 6).alias("x")))
 _CL = "greatest(-1,least(1,(x-m)/s))"
 q("standardise_winsor", f"SELECT c_custkey, round({_CL}-(SELECT avg({_CL}) FROM {X}, {P} WHERE {TRAIN}),6) AS x FROM {X}, {P}")(lambda t: p.standardise(cust(t), train(t), "x", winsor=1.0).select("c_custkey", F.round("x", 6).alias("x")))
 q("centre_mean", f"SELECT c_custkey, round(x-m,6) AS x FROM {X}, {P}")(lambda t: p.centre(cust(t), train(t), "x").select("c_custkey", F.round("x", 6).alias("x")))
