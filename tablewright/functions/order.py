@@ -25,7 +25,7 @@ def with_bucket(df: DataFrame, value: str, out: str = "_bucket") -> DataFrame:
     v = F.col(value).cast("double")
     ends = df.agg(F.min(v).alias("_a"), F.max(v).alias("_b"))
     part = F.coalesce(F.floor((v - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * PARTS), F.lit(0))
-    octave = F.floor(F.signum(v) * F.log2(1 + F.abs(v) * float(1 << 60)) * OCTAVE) + (1 << 19)
+    octave = F.floor(F.signum(v) * F.greatest(F.lit(0.0), F.coalesce(F.log2(F.abs(v)), F.lit(-60.0)) + 60) * OCTAVE) + (1 << 19)
     return df.join(F.broadcast(ends), F.lit(True)).withColumn(out, (part * (1 << 20) + octave).cast("long")).drop("_a", "_b")
 
 
