@@ -9,7 +9,9 @@ adding or subtracting its vector alone (`insert`, `delete`). Two kinds of lanes:
   adds +1 or -1 to one lane. A difference of two fingerprints is the vector of what the texts do not share, and its squared
   length estimates how much that is, so likeness = 1 - |a-b|^2 / (|a|^2 + |b|^2), held to 0..1.
 
-Null text: empty, whose fingerprint is all zeros (likeness 1 to another empty one, 0 to anything else).
+Null text: empty, whose fingerprint is all zeros (likeness 1 to another empty one, 0 to anything else). Repeated rows have equal
+fingerprints and follow each other; rows of one id follow each other in the order of their texts, null ids come last. Texts of any length
+are read whole. An empty table gives an empty result. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -135,7 +137,8 @@ def with_next(docs: DataFrame, slices: int | None = None) -> DataFrame:
     """Compares each text with the next one by descending id, and with itself after its last third became the next one's start.
 
     Ids are cut into ranges at their percentiles; a range is read in order by one task, and the first
-    document of each range goes to the range before it too (one text for each range, the only rows sent twice).
+    document of each range goes to the range before it too (rows that share its id with it; null ids, all of one range, go twice
+    where that range holds nothing else). All rows of one id, and all null ids, are read by one task.
     Texts are shuffled once. Rows that share an id follow each other in the order of their texts; null ids come last.
     """
     n = slices or input_slices(docs)

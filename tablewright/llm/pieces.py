@@ -8,7 +8,8 @@ largest sum of piece scores; of equal ones the one with the longest last piece.
 rank, which says nothing of probability: -log(100 + rank) stands for it there. Characters outside the vocabulary become their byte pieces.
 
 The model file is only read, never trained. Decoding gives back the text, where it holds no "▁" of its own. Null text: empty, no pieces.
-Null ids, ties and repeated rows are encoded like others; an empty table gives an empty result.
+Null ids, ties and repeated rows are encoded like others; an empty table gives an empty result. Texts of any length are read whole, other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations

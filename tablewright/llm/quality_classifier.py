@@ -8,8 +8,9 @@ every batch. The raw score is the difference of the classes' Mahalanobis log den
 a logistic curve fitted to its histogram on training rows turns it into a probability.
 
 Null or empty text: all counts zero, scored like any other. Documents without a label are scored, not learnt from;
-labels without a document play no part. With fewer than two classes to learn from, the score is the share
-of label 1 (0.5 with no label at all). Repeated rows count as often as they occur.
+labels without a document play no part, and null ids have no label. With fewer than two classes to learn from, the score is the share
+of label 1 (0.5 with no label at all). Repeated rows count as often as they occur. A score equal to the threshold counts as good.
+Texts of any length are read whole. An empty table gives an empty result. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

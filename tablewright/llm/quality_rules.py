@@ -6,7 +6,8 @@ each rule votes either way on good and on bad documents, and a document is kept
 probability of being good reaches the threshold. Two base checks reject a document outright.
 
 Null text: no words. Empty text and tables: rows with zeros, an empty result. Repeated rows are
-counted and returned as often as they occur. Other columns of the input play no part.
+counted and returned as often as they occur. Null ids are rows like others. A posterior equal to the threshold keeps a document.
+Texts of any length are read whole. Other columns of the input play no part, whatever their names.
 """
 
 from __future__ import annotations

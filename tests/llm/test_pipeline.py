@@ -45,3 +45,29 @@ def test_repeated_rows_and_nulls(spark, sf):
     empty = docs.limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    """Null ids and texts, repeated rows, an id of 2**63 - 1, and columns named as the operators name theirs."""
+    sf = "/root/testdata/sf0.001"
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
+    text = real[0][1]
+    rows = [*real, (None, text), (None, None), (-5, None), (2**63 - 1, real[1][1]), real[2], real[2], (10**9, ""), (10**9 + 1, text * 300)]
+    names = ["k", "t", "row", "doubt", "stays", "nth", "size", "cls", "_rest", "_k", "a b", "bucket", "rank", "score", "stats"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", "s", None, *range(len(names))) for i, t in rows], schema)
+    for k, (name, stage) in enumerate(c.STAGES):
+        out = stage(spark, docs, sf)
+        got = out.collect()
+        if k == len(c.STAGES) - 1:
+            assert sum(r.piece == 0 for r in got) == len(rows)
+            continue
+        assert out.columns == docs.columns, name
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in got), name
+        if name == "suffix_dedup":
+            assert len(got) == len(rows)
+        elif name == "ngram_join":
+            assert len([r for r in got if r.doc_id == real[2][0]]) <= 1 and sum(not r.text for r in got) == 3
+            assert not [r for r in got if r.doc_id is None and r.text]
+        else:
+            assert {r.doc_id for r in got} <= {i for i, _ in rows}

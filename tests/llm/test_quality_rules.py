@@ -55,3 +55,29 @@ def test_em_gives_probabilities(counts):
     p, good, bad = q.fit(counts)
     assert 0 < p < 1
     assert all(abs(sum(x.values()) - 1) < 1e-9 for x in good + bad)
+
+
+def test_posteriors_match_brute_force(spark, sf):
+    """Expectation-maximisation over documents one by one, in numpy, against the patterns' counts."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in q.apply(docs).collect()}
+    rows = q.votes(q.measures(docs)).collect()
+    v = np.array([[r[n] for n in q.RULES] for r in rows])
+    start = np.array([[0.6, 0.3, 0.1], [0.2, 0.3, 0.5]])  # vote 1, 0, -1 of good and bad documents
+    rate, p = np.repeat(start[:, None], v.shape[1], 1), 0.85
+    hot = np.stack([v == k for k in (1, 0, -1)], 2).astype(float)
+    for _ in range(100):
+        x = np.log(p) - np.log(1 - p) + (hot * np.log(rate[0] / rate[1])).sum((1, 2))
+        post = 1 / (1 + np.exp(-x))
+        new = np.stack([(hot * w[:, None, None]).sum(0) + 10 * s for w, s in ((post, start[0]), (1 - post, start[1]))])
+        moved = np.abs(new / new.sum(2, keepdims=True) - rate).max()
+        rate, p = new / new.sum(2, keepdims=True), (post.sum() + 8.5) / (len(v) + 10)
+        if moved < 1e-7:
+            break
+    x = np.log(p) - np.log(1 - p) + (hot * np.log(rate[0] / rate[1])).sum((1, 2))
+    for r, want in zip(rows, 1 / (1 + np.exp(-x)), strict=True):
+        g = got[r.doc_id]
+        assert abs(g.p_good - want) < 1e-4
+        assert g.kept == (not g.base_failed and g.p_good >= 0.5)
