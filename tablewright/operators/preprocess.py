@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..llm.common import table
+from ..sources.shared import written
 from .neighbours import _metric, numbered, search_all
 
 TINY, DIGITS = 1e-5, 9
@@ -242,7 +242,7 @@ def oversample(df: DataFrame, columns: Sequence[str], label: str, k: int = 5, se
         return df.sparkSession.createDataFrame([], f"{label} {kind}, " + ", ".join(f"{c} double" for c in columns))
     mine = rows.filter(F.col(label) == F.lit(few))
     near = search_all(rows, mine, "_id", "_v", k).join(rows.select(F.col("_id").alias("b"), label), "b")
-    weight = table(mine.select("_id").join(near.groupBy(F.col("q").alias("_id")).agg(F.sum((F.col(label) != F.lit(few)).cast("long")).alias("_w")), "_id", "left").withColumn("_w", F.coalesce("_w", F.lit(0))), "weights")
+    weight = written(mine.select("_id").join(near.groupBy(F.col("q").alias("_id")).agg(F.sum((F.col(label) != F.lit(few)).cast("long")).alias("_w")), "_id", "left").withColumn("_w", F.coalesce("_w", F.lit(0))), "weights")
     if not weight.agg(F.sum("_w")).first()[0]:
         weight = weight.withColumn("_w", F.lit(1).cast("long"))
     # running totals: of blocks of ids on the driver, within a block by a window

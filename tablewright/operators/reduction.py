@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.common import table
+from ..sources.shared import written
 from .numeric import moments
 
 
@@ -143,7 +143,7 @@ def reduce(df: DataFrame, columns: Sequence[str], label: str, method: str, k: in
             w = pls_map({"cov": both["cov"] / np.outer(s, s)}, k)
         w = _sign(w)
     elif method in ("nmf", "fast_ica"):
-        rows = table(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna(), "complete-rows")
+        rows = written(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna(), "complete-rows")
         w = np.linalg.pinv(nmf(rows, list(columns), mean, sd, k, seed=seed)) if method == "nmf" else _sign(fast_ica(rows, list(columns), mean, sd, m["cov"], k, seed=seed))
     else:
         rows = df.select(*columns).dropna().orderBy(F.xxhash64(F.lit(seed), *columns)).limit(sample).collect()

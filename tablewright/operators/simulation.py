@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import special, stats
-from ..llm.common import table
+from ..sources.shared import written
 from .neighbours import numbered, search
 from .numeric import moments
 
@@ -63,7 +63,7 @@ def performance(grid: DataFrame, repeats: int, seed: int = 0) -> DataFrame:
 
 def copula(df: DataFrame, columns: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """New cases with the columns' own distributions and rank correlations, both of all complete rows."""
-    rows = table(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna(), "complete-rows")
+    rows = written(df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna(), "complete-rows")
     total, score, scored = rows.count(), F.pandas_udf(lambda u: u.map(special.normal_inverse).astype(float), "double"), rows
     for i, c in enumerate(columns):
         ranks = stats.tied_rank(rows.select(c), [], c, "_r").distinct()
