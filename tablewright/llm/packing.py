@@ -27,7 +27,7 @@ from .common import table, text_chunks
 CAPACITY, END = 1024, 2
 _ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE = 100_000  # words a worker keeps, to bound its memory
+CACHE = 300_000  # words that a worker keeps, twice: those of late, and those before them
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -60,14 +60,18 @@ class Encoder:
 
         self.merge = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
+        """Ids of a space and the text, which is looked up first."""
         got = self.known.get(text)
         if got is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            got = np.array(self.merge(text), "<u4").tobytes()
+            got = self.older.get(text)
+            if got is None:
+                got = np.array(self.merge(" " + text), "<u4").tobytes()
             if len(text) < 64:
+                if len(self.known) >= CACHE:
+                    self.older, self.known = self.known, {}
                 self.known[text] = got
         return got
 
@@ -79,11 +83,11 @@ class Encoder:
                 self.whole = Tokenizer.from_file(self.path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        known, out = self.known, [self.part(parts[0])]
-        for p in parts[1:]:
-            got = known.get(" " + p)
-            out.append(self.part(" " + p) if got is None else got)
-        return b"".join(out)
+        first, rest = np.array(self.merge(parts[0]), "<u4").tobytes(), parts[1:]
+        got = list(map(self.known.get, rest))
+        if None in got:
+            got = [self.part(p) if g is None else g for p, g in zip(rest, got, strict=True)]
+        return first + b"".join(got)
 
 
 _encoders: dict[str, Encoder] = {}
