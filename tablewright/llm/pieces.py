@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 200_000
+CACHE = 100_000  # words that a worker keeps, twice: those of late, and those before them
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -64,6 +64,7 @@ class Codec:
             raise ValueError("a piece spans words")
         self.unknown = min(s for s, _ in self.score.values()) - 10.0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words, as little-endian bytes."""
@@ -101,14 +102,13 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. Words of a batch are searched together; those seen before are taken over."""
         cut = [_WORDS.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-        new = {w for c in cut for w in c if w not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = {w for c in cut for w in c}
-        found = self.words(list(new))
-        self.known.update((w, v) for w, v in found.items() if len(w) < 64)
-        known = self.known
-        return [b"".join([found[w] if w in found else known[w] for w in c]) for c in cut]
+        known, older = self.known, self.older
+        here = {w: known.get(w) or older.get(w) for w in set().union(*cut)}
+        here.update(self.words([w for w, v in here.items() if v is None]))
+        known.update((w, v) for w, v in here.items() if len(w) < 64)
+        if len(known) > CACHE:
+            self.older, self.known = known, {}
+        return [b"".join(map(here.__getitem__, c)) for c in cut]
 
     def decode(self, ids: bytes | list[int]) -> str:
         ids = np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids
