@@ -158,12 +158,12 @@ def relevance(df: DataFrame, feature: str, original: str, replaced: str, span: f
 
 
 def coalitions(n: int, limit: int = 4096) -> list[tuple[list[int], float]]:
-    """Kernel-SHAP subsets and weights, the smallest and largest sizes first."""
+    """All Kernel-SHAP subsets and weights, the smallest and largest sizes first; more than limit are refused."""
+    if 2**n - 2 > limit:
+        raise ValueError(f"{n} features have more than {limit} coalitions")
     out = []
     for size in sorted(range(1, n), key=lambda s: (min(s, n - s), s)):
         for c in combinations(range(n), size):
-            if len(out) >= limit:
-                return out
             out.append((list(c), (n - 1) / (comb(n, size) * size * (n - size))))
     return out
 
