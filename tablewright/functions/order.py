@@ -18,15 +18,15 @@ _JOIN = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + b, "max": F.greatest, "mi
 _OVER = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def with_bucket(df: DataFrame, value: str, out: str = "_bucket") -> DataFrame:
+def with_bucket(df: DataFrame, value: str, out: str = "_order_bucket") -> DataFrame:
     """Adds a bucket that never falls as the value rises."""
     if isinstance(df.schema[value].dataType, StringType):
         return df.withColumn(out, F.rpad(F.hex(F.substring(F.col(value).cast("binary"), 1, 4)), 8, "0"))
     v = F.col(value).cast("double")
-    ends = df.agg(F.min(v).alias("_a"), F.max(v).alias("_b"))
-    part = F.coalesce(F.floor((v - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * PARTS), F.lit(0))
+    ends = df.agg(F.min(v).alias("_order_low"), F.max(v).alias("_order_high"))
+    part = F.coalesce(F.floor((v - F.col("_order_low")) / F.nullif(F.col("_order_high") - F.col("_order_low"), F.lit(0.0)) * PARTS), F.lit(0))
     octave = F.floor(F.signum(v) * F.greatest(F.lit(0.0), F.coalesce(F.log2(F.abs(v)), F.lit(-60.0)) + 60) * OCTAVE) + (1 << 19)
-    return df.join(F.broadcast(ends), F.lit(True)).withColumn(out, (part * (1 << 20) + octave).cast("long")).drop("_a", "_b")
+    return df.join(F.broadcast(ends), F.lit(True)).withColumn(out, (part * (1 << 20) + octave).cast("long")).drop("_order_low", "_order_high")
 
 
 def running(df: DataFrame, keys: Sequence[str], value: str, what: dict[str, tuple[str, Column]], more: Sequence[str] = (), descending: bool = False, totals: dict[str, Column] | None = None) -> DataFrame:
@@ -37,16 +37,16 @@ def running(df: DataFrame, keys: Sequence[str], value: str, what: dict[str, tupl
     totals = totals or {}
     placed = with_bucket(df, value)
     down = (lambda c: F.col(c).desc()) if descending else F.col
-    each = placed.groupBy(*keys, "_bucket").agg(*(_OVER[how](c).alias(f"_in_{n}") for n, (how, c) in what.items()), *(F.sum(c).alias(f"_all_{n}") for n, c in totals.items()))
-    before = Window.partitionBy(*keys).orderBy(down("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    each = placed.groupBy(*keys, "_order_bucket").agg(*(_OVER[how](c).alias(f"_order_in_{n}") for n, (how, c) in what.items()), *(F.sum(c).alias(f"_order_all_{n}") for n, c in totals.items()))
+    before = Window.partitionBy(*keys).orderBy(down("_order_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     ahead = each.select(
-        *(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_bucket").alias("_k_bucket"), *(_OVER[how](f"_in_{n}").over(before).alias(f"_before_{n}") for n, (how, _) in what.items()),
-        *(F.sum(f"_all_{n}").over(Window.partitionBy(*keys)).alias(n) for n in totals),
+        *(F.col(k).alias(f"_order_k_{k}") for k in keys), F.col("_order_bucket").alias("_order_same"), *(_OVER[how](f"_order_in_{n}").over(before).alias(f"_order_before_{n}") for n, (how, _) in what.items()),
+        *(F.sum(f"_order_all_{n}").over(Window.partitionBy(*keys)).alias(n) for n in totals),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(down(value), *more).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_order_bucket").orderBy(down(value), *more).rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.withColumns({n: _OVER[how](c).over(inside) for n, (how, c) in what.items()})
-    same = F.col("_bucket") == F.col("_k_bucket")
+    same = F.col("_order_bucket") == F.col("_order_same")
     for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = rows.join(ahead, same).withColumns({n: _JOIN[how](F.col(f"_before_{n}"), F.col(n)) for n, (how, _) in what.items()})
+        same &= F.col(k).eqNullSafe(F.col(f"_order_k_{k}"))
+    out = rows.join(ahead, same).withColumns({n: _JOIN[how](F.col(f"_order_before_{n}"), F.col(n)) for n, (how, _) in what.items()})
     return out.select(*df.columns, *what, *totals)
