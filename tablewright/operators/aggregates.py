@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.shared import written
 
 
 def value_table(df: DataFrame, value: str) -> DataFrame:
@@ -59,12 +60,15 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
 
 def biweight(df: DataFrame, keys: Sequence[str], a: str, b: str, c: float = 9.0) -> DataFrame:
     """Biweight midcorrelation: weights (1 - u^2)^2 from distances to the median in units of c MAD."""
-    for col in (a, b):
-        med = stats.hazen(df, keys, col, [0.5]).select(*keys, F.col("q").alias(f"_m_{col}"))
-        df = df.join(med, list(keys)) if keys else df.join(F.broadcast(med), F.lit(True))  # one row without keys
-        df = df.withColumn(f"_d_{col}", F.abs(F.col(col) - F.col(f"_m_{col}")))
-        mad = stats.hazen(df, keys, f"_d_{col}", [0.5]).select(*keys, F.col("q").alias(f"_s_{col}"))
-        df = df.join(mad, list(keys)) if keys else df.join(F.broadcast(mad), F.lit(True))
+    def medians(rows: DataFrame, of: dict[str, str], name: str) -> DataFrame:
+        """A row for each group, written: what is built on it does not repeat its plan."""
+        one, two = (stats.hazen(rows, keys, c, [0.5]).select(*keys, F.col("q").alias(out)) for out, c in of.items())
+        found = written(one.join(two, list(keys)) if keys else one.join(F.broadcast(two), F.lit(True)), name)
+        return rows.join(found, list(keys)) if keys else rows.join(F.broadcast(found), F.lit(True))
+
+    df = medians(df, {f"_m_{col}": col for col in (a, b)}, "medians")
+    df = df.withColumns({f"_d_{col}": F.abs(F.col(col) - F.col(f"_m_{col}")) for col in (a, b)})
+    df = medians(df, {f"_s_{col}": f"_d_{col}" for col in (a, b)}, "deviations")
     z = {}
     for col in (a, b):
         x = F.col(col) - F.col(f"_m_{col}")
