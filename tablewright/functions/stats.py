@@ -25,6 +25,12 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+def held(x: Column, low: float | None = None, high: float | None = None) -> Column:
+    """x held to a range; missing stays missing, which least and greatest alone would turn into a bound."""
+    y = x if high is None else F.least(F.lit(high), x)
+    return F.when(x.isNotNull(), y if low is None else F.greatest(F.lit(low), y))
+
+
 def weighted_mean(x: Column, w: Column) -> Column:
     return ratio(F.sum(x * w), F.sum(F.when(x.isNotNull(), w)))
 

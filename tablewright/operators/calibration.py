@@ -10,12 +10,13 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.order import running
 
 
 def bin_of(p: Column, bins: int = 10) -> Column:
     """Equal-width bins from 0, the last one closed; products are rounded at 9 digits so that edges do not move."""
-    return F.least(F.floor(F.round(p * bins, 9)), F.lit(bins - 1))
+    return stats.held(F.floor(F.round(p * bins, 9)), high=bins - 1)
 
 
 def reliability(df: DataFrame, keys: Sequence[str], label: str, prob: str, bins: int = 10) -> DataFrame:
@@ -74,7 +75,7 @@ def isotonic_ensemble(df: DataFrame, label: str, score: str, row_id: str, folds:
         for k, f in enumerate(maps):
             x = f(x).withColumnRenamed("probability", f"_p{k}")
         mean = sum(F.col(f"_p{k}") for k in range(folds)) / folds
-        return x.withColumn("probability", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))).drop(*(f"_p{k}" for k in range(folds)))
+        return x.withColumn("probability", stats.held(mean, 0.0, 1.0)).drop(*(f"_p{k}" for k in range(folds)))
 
     return apply
 

@@ -130,7 +130,8 @@ def scale_by(df: DataFrame, train: DataFrame, column: str, how: str) -> DataFram
 
 
 def spatial_median(df: DataFrame, columns: Sequence[str], steps: int = 60, close: float = 1e-9) -> list[float]:
-    """L1-median by Weiszfeld steps, one pass over the rows each: rows weigh by the inverse of their distance."""
+    """L1-median of complete rows by Weiszfeld steps, one pass over the rows each: rows weigh by the inverse of their distance."""
+    df = df.dropna(subset=list(columns))
     at = list(df.agg(*(F.avg(c) for c in columns)).first())
     for _ in range(steps):
         far = F.sqrt(sum(F.pow(F.col(c) - float(x), 2) for c, x in zip(columns, at, strict=True)))
@@ -282,4 +283,4 @@ def consistency_significance(df: DataFrame, feature: str, value: str) -> DataFra
 
 def redundancy_penalty(df: DataFrame, similarity: str, low: float, high: float, weight: float, out: str) -> DataFrame:
     """A penalty that rises from 0 at similarity `low` to `weight` at `high`, linearly."""
-    return df.withColumn(out, weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(similarity) - low) / (high - low))))
+    return df.withColumn(out, weight * stats.held((F.col(similarity) - low) / (high - low), 0.0, 1.0))

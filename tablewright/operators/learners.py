@@ -132,6 +132,6 @@ def sequential(df: DataFrame, scores: Sequence[str], low: float = 0.25, high: fl
     return x.withColumns({"score": score, "stage": stage}).drop(*cuts.columns)
 
 
-def policy_value(df: DataFrame, treatment: str, outcome: str, propensity: str, predicted: str) -> DataFrame:
+def policy_value(df: DataFrame, treatment: str, outcome: str, propensity: str, predicted: str, given: str = "given") -> DataFrame:
     """Doubly robust mean outcome of each treatment: prediction plus the inverse-propensity-weighted residual; one row for each case and treatment that has a prediction."""
-    return df.groupBy(treatment).agg(F.avg(F.col(predicted) + F.when(F.col("given") == F.col(treatment), (F.col(outcome) - F.col(predicted)) / F.greatest(propensity, F.lit(0.01))).otherwise(0.0)).alias("value"))
+    return df.groupBy(treatment).agg(F.avg(F.col(predicted) + F.when(F.col(given) == F.col(treatment), (F.col(outcome) - F.col(predicted)) / F.greatest(propensity, F.lit(0.01))).otherwise(0.0)).alias("value"))

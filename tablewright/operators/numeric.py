@@ -62,11 +62,11 @@ def positions(df: DataFrame, value: str, table: DataFrame, table_value: str, out
 
 
 def interpolate(df: DataFrame, value: str, points: Sequence[tuple[float, float]], out: str) -> DataFrame:
-    """Piecewise linear map through a few points, held beyond them."""
+    """Piecewise linear map through a few points, held beyond them; missing stays missing."""
     x, e = F.col(value), F.lit(float(points[0][1]))
     for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
         e = F.when(x > x0, y0 + (F.least(x, F.lit(x1)) - x0) * (y1 - y0) / (x1 - x0)).otherwise(e)
-    return df.withColumn(out, e)
+    return df.withColumn(out, F.when(x.isNotNull(), e))
 
 
 def _one(t, rows: list[tuple], schema: str) -> DataFrame:

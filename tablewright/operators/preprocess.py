@@ -55,7 +55,7 @@ def standardise(df: DataFrame, train: DataFrame, column: str, by: str = "mean",
     z = F.round((F.col(column) - F.col("_c")) / F.when(F.col("_s") > 2.3e-308, F.col("_s")).otherwise(TINY), DIGITS)
     out = with_parameters(df, p).withColumn(column, z)
     if winsor is not None:
-        clip = lambda x: F.greatest(F.lit(-winsor), F.least(F.lit(winsor), x))
+        clip = lambda x: stats.held(x, -winsor, winsor)
         again = with_parameters(train, p).select(clip(z).alias("_z")).agg(F.avg("_z").alias("_m"))
         out = with_parameters(out.withColumn(column, clip(F.col(column))), again).withColumn(column, F.col(column) - F.col("_m")).drop("_m")
     return out.drop("_c", "_s")
@@ -141,7 +141,7 @@ def impute_downshift(df: DataFrame, train: DataFrame, column: str, row_id: str,
 def discretise(df: DataFrame, train: DataFrame, column: str, top: float = 5.0, step: float = 0.5) -> DataFrame:
     """The next of 0, step, 2 step, ... past |z|, with the sign of z, held at top."""
     z = (F.col(column) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(TINY)
-    level = F.least(F.lit(top), F.ceil(F.round(F.abs(z) / step, 9)) * step)
+    level = stats.held(F.ceil(F.round(F.abs(z) / step, 9)) * step, high=top)
     return with_parameters(df, train.agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"))).withColumn(column, F.signum(z) * level).drop("_m", "_s")
 
 

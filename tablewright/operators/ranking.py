@@ -51,7 +51,7 @@ def auc(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
 
 def binned(df: DataFrame, columns: Sequence[str], label: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins of every column, beside the label."""
+    """Equal-width bins of every column, beside the label; a missing value counts in the last bin, a constant in the first."""
     p = df.agg(*(F.min(c).alias(f"_lo_{c}") for c in columns), *(F.max(c).alias(f"_hi_{c}") for c in columns))
 
     def one(c: str) -> Column:

@@ -150,9 +150,10 @@ def bootstrap(df: DataFrame, row_id: str, seed: int = 0) -> DataFrame:
 
 
 def equalise(df: DataFrame, value: str, row_id: str, bins: int, seed: int | None = None) -> DataFrame:
-    """Cuts every equal-width bin of a value to the size of the smallest filled one; rows by hash of id (seed) or by id."""
+    """Cuts every equal-width bin of a value to the size of the smallest filled one; rows by hash of id (seed) or by id. Missing values are left out."""
+    df = df.filter(F.col(value).isNotNull())
     r = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    b = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+    b = F.least(F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0)) * bins), F.lit(0)), F.lit(bins - 1))
     x = df.join(F.broadcast(r), F.lit(True)).withColumn("bin", b)  # one row
     least = x.groupBy("bin").count().agg(F.min("count").alias("_m"))
     order = F.col(row_id) if seed is None else F.xxhash64(F.lit(seed), row_id)

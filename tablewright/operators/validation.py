@@ -61,7 +61,7 @@ def holm(df: DataFrame, p: str, tie: str, out: str = "adjusted") -> DataFrame:
 
 def fisher_combine(df: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
     """Tail of chi-square with 2k degrees: exp(-x/2) times a Poisson sum."""
-    s = df.groupBy(*keys).agg((-F.sum(F.ln(F.greatest(p, F.lit(1e-15))))).alias("_h"), F.count(p).alias("k"))
+    s = df.groupBy(*keys).agg((-F.sum(F.ln(stats.held(F.col(p), low=1e-15)))).alias("_h"), F.count(p).alias("k"))
     term = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("k") - 1, F.lit(1).cast("long"))), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, i: F.struct((a["t"] * F.col("_h") / i).alias("t"), (a["s"] + a["t"] * F.col("_h") / i).alias("s")), lambda a: a["s"])
     return s.select(*keys, (2 * F.col("_h")).alias("statistic"), "k", (F.exp(-F.col("_h")) * F.when(F.col("k") > 1, term).otherwise(1.0)).alias("p"))
 
