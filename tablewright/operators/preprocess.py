@@ -110,11 +110,14 @@ def impute_case_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_knn(df: DataFrame, train: DataFrame, columns: Sequence[str], k: int = 5, metric: str = "euclidean", limit: int = 100_000) -> DataFrame:
-    """Median over the k nearest complete training rows, by the columns a case has. The training rows are held by each task; more than `limit` are refused."""
+    """Median over the k nearest complete training rows, by the columns a case has; distances equal at 12 digits go by the rows' values in column order.
+
+    The training rows are held by each task; more than `limit` are refused.
+    """
     rows = train.select(*columns).dropna().limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} complete training rows: give a sample")
-    pool, cols = np.array(rows, float), list(columns)
+    pool, cols = np.array(sorted(tuple(map(float, r)) for r in rows), float), list(columns)
 
     def each(batches):
         for pdf in batches:
@@ -122,7 +125,7 @@ def impute_knn(df: DataFrame, train: DataFrame, columns: Sequence[str], k: int =
             for i in np.flatnonzero(np.isnan(x).any(1)):
                 have = ~np.isnan(x[i])
                 if have.any() and len(pool):
-                    d = _metric(x[i : i + 1, have], pool[:, have], metric)[0]
+                    d = np.round(_metric(x[i : i + 1, have], pool[:, have], metric)[0], 12)
                     x[i, ~have] = np.median(pool[np.argsort(d, kind="stable")[:k]][:, ~have], axis=0)
             yield pdf.assign(**{c: x[:, j] for j, c in enumerate(cols)})
 

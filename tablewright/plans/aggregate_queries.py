@@ -75,9 +75,30 @@ q("similarity_pearson", f"SELECT i, round((64*{_D.format('a', 'b')}-list_sum(a)*
 q("similarity_total_kl", """SELECT i, round(list_sum([p[k]*ln(p[k]/r[k]) for k in range(1,65)])/sqrt(1+list_sum([x*pow(1+ln(x),2) for x in r])),5) AS s FROM (SELECT i, [exp(x)/list_sum([exp(y) for y in a]) for x in a] AS p, [exp(x)/list_sum([exp(y) for y in b]) for x in b] AS r FROM """ + _PAIR + ")")(
     lambda t: pairs(t).select("i", F.round(vectors.total_kl(F.transform("a", lambda x: F.exp(x.cast("double"))), F.transform("b", lambda x: F.exp(x.cast("double")))), 5).alias("s"))
 )
-q("similarity_gower")(lambda t: (lambda d: numeric.gower(d, "p_partkey", ["p_size", "p_retailprice"], ["p_brand"], d.filter("p_partkey % 50 = 0")))(t("part").select("p_partkey", "p_size", "p_retailprice", "p_brand")))
+_G = "(SELECT max(p_size)-min(p_size) AS rs, max(p_retailprice)-min(p_retailprice) AS rp FROM part)"
+q("similarity_gower", f"SELECT a.p_partkey AS i, b.p_partkey AS j, round((1-abs(a.p_size-b.p_size)/rs::DOUBLE+1-abs(a.p_retailprice-b.p_retailprice)/rp+(a.p_brand=b.p_brand)::INT)/3,9) AS s FROM part a JOIN part b ON a.p_partkey%50=0 AND a.p_partkey<>b.p_partkey, {_G}")(lambda t: (lambda d: numeric.gower(d, "p_partkey", ["p_size", "p_retailprice"], ["p_brand"], d.filter("p_partkey % 50 = 0")))(t("part").select("p_partkey", "p_size", "p_retailprice", "p_brand")))
+_L3 = ("l_quantity", "l_extendedprice", "l_tax")
+_CV = ", ".join(f"covar_samp({a},{b}) AS s{i}{j}" for i, a in enumerate(_L3) for j, b in enumerate(_L3))
+_DET = lambda s: f"({s('00')}*({s('11')}*{s('22')}-{s('12')}*{s('12')})-{s('01')}*({s('01')}*{s('22')}-{s('12')}*{s('02')})+{s('02')}*({s('01')}*{s('12')}-{s('11')}*{s('02')}))"
+_ADJ = {"00": "m11*m22-m12*m12", "11": "m00*m22-m02*m02", "22": "m00*m11-m01*m01", "01": "m02*m12-m01*m22", "02": "m01*m12-m02*m11", "12": "m01*m02-m00*m12"}
+_MAHA = "+".join(f"d{i}*d{j}*({_ADJ[''.join(sorted(f'{i}{j}'))]})" for i in range(3) for j in range(3))
+SMALL = {
+    "bhattacharyya": f"""SELECT round(({_MAHA})/{_DET(lambda k: 'm' + k)}/8+0.5*ln({_DET(lambda k: 'm' + k)}/sqrt({_DET(lambda k: 'a.s' + k)}*{_DET(lambda k: 'b.s' + k)})),6) AS distance
+ FROM (SELECT *, {", ".join(f"(a.s{i}{j}+b.s{i}{j})/2 AS m{i}{j}" for i in range(3) for j in range(3))}, {", ".join(f"a.u{i}-b.u{i} AS d{i}" for i in range(3))}, a, b FROM c a JOIN c b ON a.l_linestatus='F' AND b.l_linestatus='O')""",
+    "kl_similarity": """SELECT a.g AS a, b.g AS b, round(exp(-0.5*((a.v+pow(a.m-b.m,2))/b.v+(b.v+pow(a.m-b.m,2))/a.v-2)),9) AS similarity FROM g a JOIN g b ON a.g<b.g""",
+    "mahalanobis": "SELECT p_partkey, round(sqrt((pow(p_size-mx,2)*vy-2*(p_size-mx)*(p_retailprice-my)*c+pow(p_retailprice-my,2)*vx)/(vx*vy-c*c)),6) AS distance FROM part, (SELECT avg(p_size) AS mx, avg(p_retailprice) AS my, var_samp(p_size) AS vx, var_samp(p_retailprice) AS vy, covar_samp(p_size,p_retailprice) AS c FROM part)",
+    "kernel_density": """SELECT round(lo+step*i,4) AS x, round(sum(c*exp(-0.5*pow(step*(i-b)/h,2)))/(any_value(n)*any_value(h)*sqrt(2*pi())),12) AS density FROM s, (SELECT round((o_totalprice-lo)/step)::INT AS b, count(*) AS c FROM orders, s GROUP BY 1), range(256) r(i) GROUP BY i, lo, step""",
+    "knee_point": """SELECT k::INT AS index, any_value(n)::DOUBLE AS "value" FROM (SELECT k, sum(e) AS e FROM (SELECT k, regr_syy(y,i)-coalesce(pow(regr_sxy(y,i),2)/nullif(regr_sxx(y,i),0),0) AS e FROM t, range(1,1000) r(k), (VALUES (0),(1)) s(side)
+ WHERE k<(SELECT max(i) FROM t) AND CASE WHEN side=0 THEN i<=k ELSE i>=k END GROUP BY k, side) GROUP BY 1) JOIN (SELECT i, n FROM t) ON i=k GROUP BY k, e QUALIFY row_number() OVER (ORDER BY round(e,6), k)=1""",
+}
+WITH = {
+    "bhattacharyya": f"c AS (SELECT l_linestatus, {_CV}, {', '.join(f'avg({c}) AS u{i}' for i, c in enumerate(_L3))} FROM lineitem GROUP BY 1)", "kl_similarity": "g AS (SELECT c_mktsegment AS g, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY 1)",
+    "kernel_density": "s AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice)-min(o_totalprice))/255 AS step, count(*) AS n, 1.06*stddev_samp(o_totalprice)*pow(count(*),-0.2) AS h FROM orders)",
+    "knee_point": "t AS (SELECT row_number() OVER (ORDER BY n DESC)-1 AS i, n, sum(n) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING)::DOUBLE AS y FROM (SELECT count(*) AS n FROM part GROUP BY p_brand))",
+}
+ROUNDED = {"bhattacharyya": {"distance": 6}, "kl_similarity": {"similarity": 9}, "kernel_density": {"x": 4, "density": 12}}
 for _n in ("bhattacharyya", "kl_similarity", "mahalanobis", "randomised_dependence", "kernel_density", "knee_point", "linkage"):
-    q(f"numeric_{_n}")(lambda t, n=_n: getattr(numeric, n)(t))
+    q(f"numeric_{_n}", (f"WITH {WITH[_n]} " if _n in WITH else "") + SMALL[_n] if _n in SMALL else None)(lambda t, n=_n: getattr(numeric, n)(t).withColumns({c: F.round(c, d) for c, d in ROUNDED.get(n, {}).items()}))
 q("agg_mutual_information", """SELECT round(sum(p*log2(p/(px*py))),6) AS mi, round(-sum(p*log2(p/py)),6) AS h_x_given_y FROM (SELECT p, sum(p) OVER (PARTITION BY x) AS px, sum(p) OVER (PARTITION BY y) AS py FROM (SELECT l_returnflag AS x, l_linestatus AS y, count(*)/CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM lineitem GROUP BY 1,2))""")(
     lambda t: a.mutual_information(t("lineitem"), "l_returnflag", "l_linestatus").select(F.round("mi", 6).alias("mi"), F.round("h_x_given_y", 6).alias("h_x_given_y"))
 )
@@ -122,4 +143,6 @@ q("normal_pdf", "SELECT c_custkey, round(exp(-0.5*pow((c_acctbal-100)/2000,2))/(
 q("normal_cdf")(lambda t: t("customer").select("c_custkey", F.round(special.cdf(F.col("c_acctbal") / 5000), 9).alias("s")))
 q("exponent_grid", "SELECT k AS i, round(pow(2.0,k),6) AS v FROM range(-3,4) r(k)")(lambda t: t("region").limit(1).select(F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("i")).select(F.col("i").cast("long"), F.round(F.pow(F.lit(2.0), "i"), 6).alias("v")))
 q("geometric_halving", "SELECT k AS i, round(64*pow(0.5,k),6) AS v FROM range(0,7) r(k)")(lambda t: t("region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")).select(F.col("i").cast("long"), F.round(64 * F.pow(F.lit(0.5), "i"), 6).alias("v")))
-q("score_map_lookup")(lambda t: numeric.interpolate(t("part"), "p_size", [(1, 0.0), (20, 0.3), (50, 1.0)], "p").select("p_partkey", "p"))
+q("score_map_lookup", "SELECT p_partkey, round(CASE WHEN p_size<=1 THEN 0 WHEN p_size<=20 THEN (p_size-1)*0.3/19 ELSE 0.3+(least(p_size,50)-20)*0.7/30 END::DOUBLE,9) AS p FROM part")(
+    lambda t: numeric.interpolate(t("part"), "p_size", [(1, 0.0), (20, 0.3), (50, 1.0)], "p").select("p_partkey", F.round("p", 9).alias("p"))
+)

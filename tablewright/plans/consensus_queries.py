@@ -60,15 +60,15 @@ def shares(df):
 
 
 def added(df):
-    return df.select("p_partkey", F.round(sum(F.col(x) for x in df.columns if x != "p_partkey"), 6).alias("score"))
+    return df.select("p_partkey", sum(F.col(x) for x in df.columns if x != "p_partkey").alias("score"))
 
 
 _F = ("p_size/(greatest(p_size,p_retailprice)+1)", "p_retailprice/(greatest(p_size,p_retailprice)+1)", "p_size/(p_size+1.0)", "p_retailprice/(p_retailprice+1)")
 for _i, (_n, _sql) in enumerate((
     ("none", f"SELECT p_partkey, round({_F[2]},6) AS score, 'size' AS source FROM part UNION ALL SELECT p_partkey, round({_F[3]},6), 'price' FROM part"), ("early", f"SELECT p_partkey, round({_F[0]}+{_F[1]},6) AS score FROM part"),
-    ("intermediate", f"SELECT p_partkey, round({_F[2]}+{_F[3]},6) AS score FROM part"), ("late_parts", f"SELECT p_partkey, round((round({_F[2]},6)+round({_F[3]},6))/2,5) AS score FROM part"),
+    ("intermediate", f"SELECT p_partkey, round({_F[2]}+{_F[3]},6) AS score FROM part"), ("late_parts", f"SELECT p_partkey, round(({_F[2]}+{_F[3]})/2,6) AS score FROM part"),
 )):
-    q(f"fusion_mode_{_n}", _sql)(lambda t, i=_i: c.fuse(sources(t), "p_partkey", i, shares, added).withColumn("score", F.round("score", 5 if i == 3 else 6)))
+    q(f"fusion_mode_{_n}", _sql)(lambda t, i=_i: c.fuse(sources(t), "p_partkey", i, shares, added).withColumn("score", F.round("score", 6)))
 
 _N = "(SELECT l_returnflag AS cls, l_linenumber AS node, avg(l_quantity) AS worth FROM lineitem GROUP BY 1,2)"
 _S = "(SELECT l_returnflag AS cls, l_linenumber AS node, l_suppkey AS id, avg(l_quantity-25.5) AS score, CASE WHEN l_suppkey%2=0 THEN 1 ELSE -1 END AS y FROM lineitem GROUP BY 1,2,3)"
@@ -120,8 +120,14 @@ for _n, _sql in (("differences6", f"SELECT vec_id, i::INT AS i, {_ABS} AS v FROM
     q(f"volume_{_n}", f"SELECT vec_id, i, round(v,6) AS v FROM ({_sql})")(lambda t, n=_n: voxels(t, n))
 q("volume_consistency", f"SELECT vec_id, i, round(v/max(v) OVER (PARTITION BY vec_id),6) AS v FROM (SELECT vec_id, i::INT AS i, {_ABS} AS v FROM {_E})")(lambda t: voxels(t, "consistency"))
 q("volume_over_differences6", f"SELECT vec_id, i::INT AS i, round({_AT('x', 'y', 'z')}/({_ABS}),5) AS v FROM {_E}")(lambda t: voxels(t, "over_differences6", 5))
-q("volume_over_variance27")(lambda t: voxels(t, "over_variance27"))
-q("volume_gaussian")(lambda t: voxels(t, "gaussian", fwhm=2.0))
+q("volume_over_variance27", f"SELECT vec_id, i, round(e/(ln(v)/max(ln(v)) OVER (PARTITION BY vec_id)),4) AS v FROM (SELECT vec_id, i::INT AS i, {_AT('x', 'y', 'z')} AS e, list_aggregate({_CUBE},'var_pop') AS v FROM {_E})")(
+    lambda t: voxels(t, "over_variance27", 4)
+)
+_FROM = "(SELECT vec_id, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS j FROM embeddings)"
+_PAIR = lambda k: "*".join(f"{k}[1+4*({p.replace('#', 'i')})+({p.replace('#', 'j')})]" for p in ("#%4", "(#//4)%4", "#//16"))
+_GK = "(SELECT [exp(-0.5*pow((a//4-a%4)/s,2))/w for a in range(16)] AS k FROM (SELECT s, list_sum([exp(-0.5*pow(r/s,2)) for r in range(-4,5)]) AS w FROM (SELECT 2.0/sqrt(8*ln(2)) AS s)))"
+_SUM = lambda k: f"SELECT vec_id, i::INT AS i, round(sum(e*{_PAIR('k')}),5) AS v FROM {_FROM}, range(64) r(i), {k} GROUP BY 1,2"
+q("volume_gaussian", _SUM(_GK))(lambda t: voxels(t, "gaussian", 5, fwhm=2.0))
 for _how in ("approximation", "soft", "hard"):
     q(f"volume_wavelet_{_how}")(lambda t, h=_how: voxels(t, "wavelet", level=2, keep=h))
 q("volume_clusters")(lambda t: voxels(t, "clusters", threshold=0.1))

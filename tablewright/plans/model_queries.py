@@ -18,10 +18,15 @@ def lines(t):
     return d.withColumn("fold", (F.col("id") % 4).cast("int"))
 
 
+_Y = f"SELECT l_orderkey%4 AS fold, {', '.join(X)}, (l_quantity*2000+l_tax*100000-l_extendedprice>0)::INT AS y FROM lineitem"
+_NB = f"""WITH d AS ({_Y}), g AS (SELECT y AS c, ln(count(*)) AS p, {", ".join(f"avg({x}) AS m{i}, var_pop({x})+any_value(lift) AS v{i}" for i, x in enumerate(X))} FROM d, (SELECT 1e-9*greatest({",".join(f"var_pop({x})" for x in X)}) AS lift FROM d WHERE fold<>0) WHERE fold<>0 GROUP BY 1)
+ SELECT pred::DOUBLE AS prediction, y, count(*) AS count FROM (SELECT max_by(c,s) AS pred, any_value(y) AS y FROM (SELECT r, y, c, p-0.5*({"+".join(f"ln(v{i})+pow({x}-m{i},2)/v{i}" for i, x in enumerate(X))}) AS s FROM (SELECT *, row_number() OVER () AS r FROM d WHERE fold=0), g) GROUP BY r) GROUP BY 1,2"""
+_OLS = """WITH m AS (SELECT avg(p_size) AS ma, avg(p_partkey) AS mb, avg(p_retailprice) AS my, covar_pop(p_size,p_size) AS aa, covar_pop(p_partkey,p_partkey) AS bb, covar_pop(p_size,p_partkey) AS ab, covar_pop(p_size,p_retailprice) AS ay, covar_pop(p_partkey,p_retailprice) AS byy FROM part WHERE p_partkey%4<>0)
+ SELECT p_partkey, round(my+(p_size-ma)*(ay*bb-byy*ab)/(aa*bb-ab*ab)+(p_partkey-mb)*(byy*aa-ay*ab)/(aa*bb-ab*ab),4) AS prediction FROM part, m WHERE p_partkey%4=0"""
 for _n in l.CLASSIFIERS:
-    q(f"learn_classifier_{_n}")(lambda t, n=_n: l.fit(n, lines(t).filter("fold <> 0"), X, "y")(lines(t).filter("fold = 0")).groupBy("prediction", "y").count())
+    q(f"learn_classifier_{_n}", _NB if _n == "naive_bayes" else None)(lambda t, n=_n: l.fit(n, lines(t).filter("fold <> 0"), X, "y")(lines(t).filter("fold = 0")).groupBy("prediction", "y").count())
 for _n in l.REGRESSORS:
-    q(f"learn_regressor_{_n}")(lambda t, n=_n: l.fit(n, t("part").filter("p_partkey % 4 <> 0"), ["p_size", "p_partkey"], "p_retailprice", True)(t("part").filter("p_partkey % 4 = 0")).select("p_partkey", F.round("prediction", 4).alias("prediction")))
+    q(f"learn_regressor_{_n}", _OLS if _n in ("linear", "glm") else None)(lambda t, n=_n: l.fit(n, t("part").filter("p_partkey % 4 <> 0"), ["p_size", "p_partkey"], "p_retailprice", True)(t("part").filter("p_partkey % 4 = 0")).select("p_partkey", F.round("prediction", 4).alias("prediction")))
 q("learn_perceptron")(lambda t: l.perceptron(lines(t).filter("fold <> 0"), X, "y")(lines(t).filter("fold = 0")).groupBy("prediction", "y").count())
 q("learn_survival")(lambda t: l.survival(t("part").select("p_partkey", F.col("p_size").cast("double").alias("t"), (F.col("p_partkey") % 5 > 0).cast("double").alias("e"), (F.col("p_retailprice") / 1000).alias("x")), ["x"], "t", "e")(t("part").select("p_partkey", F.col("p_size").cast("double").alias("t"), (F.col("p_retailprice") / 1000).alias("x"))).select("p_partkey", "prediction", "survival", "hazard"))
 q("learn_mixture")(lambda t: l.mixture(t("customer"), ["c_acctbal"], 2)(t("customer")).select("c_custkey", "prediction"))

@@ -52,8 +52,13 @@ def holes(t):
 H = "(SELECT p_partkey, CASE WHEN p_partkey%4<>0 THEN p_size::DOUBLE END AS a, CASE WHEN p_partkey%5<>0 THEN p_retailprice END AS b, (p_partkey%11)::DOUBLE AS c FROM part)"
 q("impute_column_mean", f"SELECT p_partkey, round(coalesce(a,ma),6) AS a, round(coalesce(b,mb),6) AS b FROM {H}, (SELECT avg(a) AS ma, avg(b) AS mb FROM {H})")(lambda t: p.impute_mean(holes(t), holes(t), ["a", "b"]).select("p_partkey", F.round("a", 6).alias("a"), F.round("b", 6).alias("b")))
 q("impute_case_median", f"SELECT p_partkey, coalesce(a,med) AS a, coalesce(b,med) AS b FROM (SELECT *, list_median(list_filter([a,b,c], lambda x: x IS NOT NULL)) AS med FROM {H})".replace("list_median", "list_aggregate").replace("x IS NOT NULL))", "x IS NOT NULL), 'median')"))(lambda t: p.impute_case_median(holes(t), ["a", "b", "c"]).select("p_partkey", "a", "b"))
-for _m in ("euclidean", "cityblock", "cosine", "hamming"):
-    q(f"impute_knn_{_m}")(lambda t, m=_m: p.impute_knn(holes(t), holes(t), ["a", "b", "c"], 5, m))
+_HAVE = lambda f: "+".join(f"coalesce({f.replace('#', c)},0)" for c in "abc")
+_NORM = lambda v: f"greatest(sqrt({_HAVE(f'CASE WHEN h.# IS NOT NULL THEN {v}.#*{v}.# END')}),1e-300)"
+for _m, _sql in (("euclidean", f"sqrt({_HAVE('pow(h.#-d.#,2)')})"), ("cityblock", _HAVE("abs(h.#-d.#)")), ("cosine", f"1-({_HAVE('h.#*d.#')})/({_NORM('h')}*{_NORM('d')})"), ("hamming", f"({_HAVE('(h.#<>d.#)::INT')})::DOUBLE/({_HAVE('(h.#=h.#)::INT')})")):
+    q(f"impute_knn_{_m}", f"""SELECT p_partkey, round(coalesce(h.a,n.a),6) AS a, round(coalesce(h.b,n.b),6) AS b, h.c AS c FROM {H} h LEFT JOIN (SELECT id, median(a) AS a, median(b) AS b FROM
+ (SELECT h.p_partkey AS id, d.a, d.b, row_number() OVER (PARTITION BY h.p_partkey ORDER BY round({_sql},12), d.a, d.b, d.c) AS k FROM {H} h JOIN {H} d ON (h.a IS NULL OR h.b IS NULL) AND d.a IS NOT NULL AND d.b IS NOT NULL) WHERE k<=5 GROUP BY 1) n ON id=p_partkey""")(
+        lambda t, m=_m: p.impute_knn(holes(t), holes(t), ["a", "b", "c"], 5, m).withColumns({c: F.round(c, 6) for c in "ab"})
+    )
 q("impute_downshift")(lambda t: p.impute_downshift(holes(t), holes(t), "b", "p_partkey"))
 q("discretise", f"SELECT c_custkey, sign((x-m)/s)*least(5,ceil(round(abs((x-m)/s)/0.5,9))*0.5) AS x FROM {X}, {P}")(lambda t: p.discretise(cust(t), train(t), "x").select("c_custkey", "x"))
 q("apply_binning", "SELECT p_partkey, (p_size>=10)::INT+(p_size>=20)::INT+(p_size>=40)::INT AS bin FROM part")(lambda t: t("part").select("p_partkey", p.binned(F.col("p_size"), [10, 20, 40]).alias("bin")))

@@ -83,7 +83,9 @@ for _h in ("flip", "mirror"):
     q(f"interpret_perturb_{_h}")(lambda t, h=_h: v.perturb(t("part").select("p_partkey", "p_size"), t("part"), "p_size", h))
 q("interpret_relevance", "SELECT p_brand, round(median(x),6) AS relevance, count(*) AS n FROM (SELECT p_brand, 100*(p_size-25)/50.0 AS x FROM part WHERE p_size<>25) GROUP BY 1")(lambda t: v.relevance(t("part").withColumn("o", F.lit(25)), "p_brand", "o", "p_size", 50.0).select("p_brand", F.round("relevance", 6).alias("relevance"), "n"))
 q("interpret_component_share", "SELECT p_partkey, round(p_size*0.3/(p_size*0.3+p_retailprice*0.01),9) AS share FROM part")(lambda t: t("part").select("p_partkey", F.round(F.col("p_size") * 0.3 / (F.col("p_size") * 0.3 + F.col("p_retailprice") * 0.01), 9).alias("share")))
-q("interpret_coalitions")(lambda t: t("region").sparkSession.createDataFrame(v.coalitions(5), "subset array<int>, weight double"))
+q("interpret_coalitions", """SELECT list_aggregate([j for j in range(5) if (m>>j)&1=1],'string_agg',',') AS subset, round(4.0/([5,10,10,5][bit_count(m)]*bit_count(m)*(5-bit_count(m))),9)::DOUBLE AS weight FROM (SELECT m::INT AS m FROM range(1,31) r(m))""")(
+    lambda t: t("region").sparkSession.createDataFrame(v.coalitions(5), "subset array<int>, weight double").select(F.concat_ws(",", F.col("subset").cast("array<string>")).alias("subset"), F.round("weight", 9).alias("weight"))
+)
 q("diagnostics_2x2", "SELECT 'dor' AS name, round(731*1500/(270*78.0::DOUBLE),6) AS value UNION ALL SELECT 'youden', round(731/809.0::DOUBLE+1500/1770.0::DOUBLE-1,6)")(
     lambda t: t("region").sparkSession.createDataFrame([(k, round(x, 6)) for k, x in v.diagnostics(731, 270, 78, 1500).items() if k in ("dor", "youden")], "name string, value double")
 )
