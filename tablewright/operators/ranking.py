@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special, stats
+from .neighbours import numbered, search
 
 
 def _rows(df: DataFrame, columns: Sequence[str], weight, name: str = "weight") -> DataFrame:
@@ -119,24 +121,29 @@ def greedy(df: DataFrame, columns: Sequence[str], label: str, criterion: str, bi
     return df.sparkSession.createDataFrame([(columns[i], k + 1, w) for k, (i, w) in enumerate(chosen)], "feature string, place int, weight double")
 
 
-def relief(df: DataFrame, columns: Sequence[str], label: str, k: int = 10, sample: int = 500, pool: int = 5000, seed: int = 0) -> DataFrame:
-    """ReliefF weights of up to `sample` cases against up to `pool` rows, both by hash; stated bounds of the estimate."""
-    rows = df.select(label, *columns).dropna().orderBy(F.xxhash64(F.lit(seed), *columns)).limit(pool).collect()
-    y, x = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], float)
-    x = (x - x.min(0)) / np.maximum(np.ptp(x, axis=0), 1e-12)
-    w, m = np.zeros(len(columns)), min(sample, len(x))
-    share = {c: (y == c).mean() for c in np.unique(y)}
-    for i in range(m):
-        d = np.abs(x - x[i])
-        far = d.sum(1)
-        far[i] = np.inf
-        for c, p in share.items():
-            at = np.flatnonzero(y == c)
-            near = at[np.argsort(far[at], kind="stable")[:k]]
-            near = near[near != i]
-            if len(near):
-                w += d[near].mean(0) * (-1 if c == y[i] else p / (1 - share[y[i]])) / m
-    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, w, strict=True)], "feature string, weight double")
+def relief(df: DataFrame, columns: Sequence[str], label: str, k: int = 10, cases: int = 500, seed: int = 0) -> DataFrame:
+    """ReliefF weights: `cases` drawn rows (the method's own number of updates) meet all complete rows, their k nearest of each class by scaled cityblock distance.
+
+    A feature gains by differing from other classes, weighed by their share, and loses by differing within the class. A constant weighs 0.
+    """
+    cols = [f"x{i}" for i in range(len(columns))]
+    rows = numbered(df.select(F.col(label).alias("y"), *(F.col(c).cast("double").alias(n) for c, n in zip(columns, cols, strict=True))))
+    span = rows.agg(*(F.min(c).alias(f"lo_{c}") for c in cols), *(F.max(c).alias(f"hi_{c}") for c in cols)).first()
+    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    total, r = sum(size.values()), np.random.default_rng(seed)
+    if not total:
+        return df.sparkSession.createDataFrame([], "feature string, weight double")
+    picked = df.sparkSession.createDataFrame([(int(i),) for i in r.choice(total, min(cases, total), replace=False)], "_id long")
+    scaled = rows.select("_id", "y", F.array(*((F.col(c) - span[f"lo_{c}"]) / max(span[f"hi_{c}"] - span[f"lo_{c}"], 1e-12) for c in cols)).alias("v"))
+    own = scaled.join(F.broadcast(picked), "_id", "left_semi")
+    near = reduce(DataFrame.unionByName, [search(scaled.filter(F.col("y") == F.lit(c)), own, "_id", "v", k, "cityblock").withColumn("c", F.lit(c)) for c in size])
+    share = F.create_map(*(F.lit(x) for c, n in size.items() for x in (c, n / total)))
+    met = near.join(own.select(F.col("_id").alias("q"), F.col("v").alias("w"), F.col("y").alias("yq")), "q").join(scaled.select(F.col("_id").alias("b"), "v"), "b")
+    far = F.posexplode(F.zip_with("v", "w", lambda a, b: F.abs(a - b)))
+    mean = met.select("q", "yq", "c", far.alias("i", "d")).groupBy("q", "yq", "c", "i").agg(F.avg("d").alias("d"))
+    worth = F.when(F.col("c") == F.col("yq"), -1.0).otherwise(share[F.col("c")] / (1 - share[F.col("yq")]))
+    names = F.create_map(*(F.lit(x) for i, c in enumerate(columns) for x in (i, c)))
+    return mean.groupBy("i").agg((F.sum(F.col("d") * worth) / min(cases, total)).alias("weight")).select(names[F.col("i")].alias("feature"), "weight")
 
 
 def linear_svm(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Dimensionality reduction: a linear map (or a kernel one on landmarks) learnt from moments or a bounded sample, applied as arrays.
 
-PCA, LDA and PLS need only first and second moments, which one pass sums; NMF and fast ICA sum small products over all rows in
+PCA (probabilistic, too), LDA and PLS need only first and second moments, which one pass sums; NMF and fast ICA sum small products over all rows in
 each pass. LPP and kernel PCA learn from at most `sample` rows chosen by hash, a documented bound, and project all rows.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .moment_forms import probabilistic_map
 from .numeric import moments
 
 
@@ -132,9 +133,11 @@ def reduce(df: DataFrame, columns: Sequence[str], label: str, method: str, k: in
     m = moments(df, columns)[0]
     mean, sd = m["mean"], np.sqrt(np.maximum(np.diag(m["cov"]), 1e-12))
     m = {"n": m["n"], "mean": np.zeros(len(columns)), "cov": m["cov"] / np.outer(sd, sd)}
-    if method in ("pca", "lda", "pls"):
+    if method in ("pca", "lda", "pls", "ppca"):
         if method == "pca":
             w = pca_map(m, k)
+        elif method == "ppca":
+            w = probabilistic_map(m, k)[0]
         elif method == "lda":
             w = lda_map([{"n": c["n"], "mean": (c["mean"] - mean) / sd, "cov": c["cov"] / np.outer(sd, sd)} for c in moments(df, columns, [label])], k)
         else:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import json
 import struct
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,42 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",",
     {"parquet": lambda: w.parquet(path), "json": lambda: w.json(path), "csv": lambda: w.csv(path, sep=sep, header=True), "tsv": lambda: w.csv(path, sep="\t", header=True)}[fmt]()
 
 
+def export_results(df: DataFrame, path: str, fmt: str = "csv", about: dict | None = None, mode: str = "errorifexists") -> None:
+    """A result table in path/table and what it is about (own entries, columns and their types) as one line of JSON in path/about."""
+    write_table(df, f"{path}/table", fmt, mode=mode)
+    line = json.dumps({**(about or {}), "columns": dict(df.dtypes)}, sort_keys=True)
+    df.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/about")
+
+
+def linked(spark: SparkSession, value: DataFrame | str, fmt: str = "parquet") -> DataFrame:
+    """The table itself, or the one at a path: read only when it is used."""
+    return read_table(spark, value, fmt) if isinstance(value, str) else value
+
+
+def find_in_json(df: DataFrame, column: str, wanted: Callable) -> DataFrame:
+    """Adds paths: where in a JSON text the values stand that `wanted` accepts (any depth, objects and lists too), in reading order.
+
+    Text that is not JSON has none; a missing text has null.
+    """
+
+    def walk(v, at: str):
+        if wanted(v):
+            yield at
+        inside = ((f".{n}", x) for n, x in v.items()) if isinstance(v, dict) else ((f"[{i}]", x) for i, x in enumerate(v)) if isinstance(v, list) else ()
+        for step, x in inside:
+            yield from walk(x, at + step)
+
+    def one(text: str | None):
+        if text is None:
+            return None
+        try:
+            return list(walk(json.loads(text), "$"))
+        except ValueError:
+            return []
+
+    return df.withColumn("paths", F.pandas_udf(lambda s: s.map(one, na_action=None), "array<string>")(F.col(column)))
+
+
 def jdbc_table(spark: SparkSession, url: str, table: str, columns: Sequence[str], limit: int | None = None, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
     """Named columns of a database table; `partition` (column, low, high, parts) reads in parallel. Selection and limit are pushed down."""
     if not columns:
