@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -64,6 +65,12 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_exchanges(spark: SparkSession) -> None:
+    """Lets Spark delete the exchange files of plans that nothing refers to any more; it does so when the driver's JVM collects garbage, which is rare."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def buckets_for(df: DataFrame, entries: int, per_bucket: int) -> int:
     """How many buckets hold about per_bucket entries each, and no fewer than the session's shuffle partitions."""
     return max(input_slices(df), -(-entries // per_bucket))

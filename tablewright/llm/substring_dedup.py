@@ -11,8 +11,9 @@ at i and i + length, sorted and renamed, until it is unique or the length passes
 * Spark deals the anchors out and sorts them by name. A name of one document only is unique: it goes. The others are ranked
   again by a longer string, all the bytes whose windows chose the anchor; where the rank is that of a smaller
   document, all those windows match at once.
-* Of the documents that are first to hold such a string, those whose anchor's name others share are ranked once more, window by
-  window, by names that reach the threshold exactly.
+* Of the documents that are first to hold such a string, those whose anchor others share are ranked once more, window by window, by
+  names that reach the threshold exactly. A window around an anchor holds half of what the threshold asks beyond the name on one
+  side of it at least, so only anchors that agree with another document's so far on one side can match.
 
 A third of all rows in one group of copies stays cheap: of equal strings within a chunk of texts only the one of the smallest id is
 sent, and none where the task has lately sent it for a smaller id. Null text: empty. A null id is greater than all others (2**63 - 1
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import filters
-from .common import _BYTES, U64, Spans, buckets_for, give_back, mix, table, text_chunks
+from .common import _BYTES, U64, Spans, buckets_for, free_exchanges, give_back, mix, table, text_chunks
 
 NAME, CHUNK = 24, 1 << 19
 PER_BUCKET = 64 << 20  # bytes of text whose anchors meet in a bucket
@@ -171,6 +172,17 @@ def _first_of(key: np.ndarray, k: np.ndarray) -> np.ndarray:
     return out
 
 
+def _meet(name: np.ndarray, side: np.ndarray, whole: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Marks entries whose name and side (not 0) several strings and several ids have."""
+    order = np.lexsort((side, name))
+    g = _groups(name[order], side[order])
+    out = np.zeros(len(k), bool)
+    if len(g):
+        several = np.logical_and.reduce([np.minimum.reduceat(x[order], g) != np.maximum.reduceat(x[order], g) for x in (whole, k)])
+        out[order] = np.repeat(several, np.diff(g, append=len(k))) & (side[order] != 0)
+    return out
+
+
 def _holder(name: np.ndarray, whole: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Names a string at an anchor in a document."""
     low = U64((1 << 48) - 1)
@@ -185,18 +197,24 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
     if span < NAME + 1:
         raise ValueError(f"span must be {NAME + 1} at least")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets, low, far = buckets_for(docs, size, PER_BUCKET), U64((1 << 48) - 1), 1 if span - NAME < 256 else 4
+    buckets, low, far, half = buckets_for(docs, size, PER_BUCKET), U64((1 << 48) - 1), 1 if span - NAME < 256 else 4, (span - NAME + 1) // 2
 
     def kept_anchors(rows, data, offs):
         k, t = _keys(rows)
         copy = _copies(k, rows.column(2).to_numpy(), np.diff(offs))
         a, lo, hi, row, name = anchors(data, offs, span)
         keep = ~copy[row]
-        return k, t, copy, lo[keep], hi[keep], row[keep], name[keep]
+        return k, t, copy, lo[keep], hi[keep], row[keep], name[keep], a[keep]
+
+    def sides(spans: Spans, a, lo, hi) -> list[np.ndarray]:
+        """Three bytes each of the hash of an anchor's name and `half` bytes before it, or after it; 0 where no window reaches so far."""
+        left = np.where(a - lo >= half, spans.hash(np.maximum(a - half, lo), a + NAME) >> U64(40) | U64(1), U64(0))
+        right = np.where(hi + span - a - NAME >= half, spans.hash(a, np.minimum(a + NAME + half, hi + span)) >> U64(40) | U64(1), U64(0))
+        return [x for side in (left, right) for x in _as_bytes(side.astype(np.int64), 3)]
 
     def send_names(batches):
         for rows, data, offs in text_chunks(batches, "text", CHUNK):
-            k, _, _, _, _, row, name = kept_anchors(rows, data, offs)
+            k, _, _, _, _, row, name, _ = kept_anchors(rows, data, offs)
             order = np.lexsort((k[row], name))
             name, ids = name[order], k[row][order]
             g = _groups(name)
@@ -220,17 +238,18 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
         return pa.table({"slab": pa.array(slab, pa.int32()), "slots": pa.array(slots, pa.binary())})
 
     common = filters.build(docs.mapInArrow(send_names, "bucket int, names binary, twice binary").groupBy("bucket").applyInArrow(shared, filters.SLABS))
+    free_exchanges(docs.sparkSession)
 
     def send(batches):
         sent, by = np.zeros(CACHE, U64), np.full(CACHE, 2**63 - 1)
         for rows, data, offs in text_chunks(batches, "text", CHUNK):
-            k, t, copy, lo, hi, row, name = kept_anchors(rows, data, offs)
+            k, t, copy, lo, hi, row, name, a = kept_anchors(rows, data, offs)
             size = np.diff(offs)
             c = np.flatnonzero(copy & (size >= span))
             hits = [(k[c], t[c], np.zeros(len(c), np.int64), size[c] - span)]
             i = np.flatnonzero(common.has(name & low))
-            lo, hi, row, name = lo[i], hi[i], row[i], name[i]
-            whole = Spans(data).hash(lo, hi + span)
+            lo, hi, row, name, a, spans = lo[i], hi[i], row[i], name[i], a[i], Spans(data)
+            whole = spans.hash(lo, hi + span)
             # the same string again: only the smallest document's goes on
             key = mix(name * _STEP[1] + whole)
             slot = (key & U64(CACHE - 1)).astype(np.int64)
@@ -239,7 +258,7 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
             i = np.flatnonzero(later)
             hits.append((k[row[i]], t[row[i]], lo[i] - offs[row[i]], hi[i] - offs[row[i]]))
             i = np.flatnonzero(~later)
-            yield _blobs(buckets, ((name[i] >> U64(48)) % U64(buckets)).astype(np.int64), [name[i], whole[i]], row[i], lo[i] - offs[row[i]], _as_bytes(hi[i] - lo[i], far), k, t)
+            yield _blobs(buckets, ((name[i] >> U64(48)) % U64(buckets)).astype(np.int64), [name[i], whole[i]], row[i], lo[i] - offs[row[i]], [*_as_bytes(hi[i] - lo[i], far), *sides(spans, a[i], lo[i], hi[i])], k, t)
             hk, ht, hlo, hhi = (np.concatenate([h[j] for h in hits]) for j in range(4))
             if len(hk):
                 packed = _squeeze(hk.astype("<i8"), ht.astype("<i4"), hlo.astype("<i4"), hhi.astype("<i4"))
@@ -255,17 +274,16 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
             hit = [np.concatenate([p[j] for p in parts]) for j in range(4)]
             slab, slots = [], []
         else:
-            name, whole, k, t, lo, *more = _unpack(group, 2, far)
-            more = sum(m.astype(np.int64) << (8 * j) for j, m in enumerate(more))
+            name, whole, k, t, lo, *more = _unpack(group, 2, far + 6)
+            number = lambda parts: sum(m.astype(np.int64) << (8 * j) for j, m in enumerate(parts))
+            more, left, right = number(more[:far]), number(more[far : far + 3]), number(more[far + 3 :])
             order = np.lexsort((k, whole, name))
-            name, whole, k, t, lo, more = (x[order] for x in (name, whole, k, t, lo, more))
-            u, g = _groups(name, whole), _groups(name)
+            name, whole, k, t, lo, more, left, right = (x[order] for x in (name, whole, k, t, lo, more, left, right))
+            u = _groups(name, whole)
             i = np.flatnonzero(k > np.repeat(k[u], np.diff(u, append=len(k))))
             hit = [k[i], t[i], lo[i], lo[i] + more[i]]
-            # the first holders of each string, where the name has several strings and documents
-            apart = np.repeat(np.minimum.reduceat(k, g) != np.maximum.reduceat(k, g), np.diff(g, append=len(k))) if len(g) else np.zeros(0, bool)
-            several = np.repeat(np.diff(np.searchsorted(u, np.append(g, len(k)))) > 1, np.diff(g, append=len(k)))
-            f = u[(apart & several)[u]] if len(u) else u
+            # the first holders of each string, where the anchor agrees on one side with that of another string and document
+            f = u[(_meet(name, left, whole, k) | _meet(name, right, whole, k))[u]]
             slab, slots = filters.slabs(_holder(name[f], whole[f], k[f]))
         give_back()
         n, m = len(hit[0]), len(slab)
@@ -273,11 +291,13 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
         return pa.table([pad(hit[0], pa.int64()), *(pad(x.astype(np.int32), pa.int32()) for x in hit[1:]), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(slab, pa.int32())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(slots, pa.binary())])], names=["k", "t", "lo", "hi", "slab", "slots"])
 
     ranked = table(docs.mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(rank, _HIT + ", slab int, slots binary"), "anchor-ranks")
+    free_exchanges(docs.sparkSession)
     first = filters.build(ranked.filter("slab is not null").select("slab", "slots"))
+    free_exchanges(docs.sparkSession)
 
     def send_windows(batches):
         for rows, data, offs in text_chunks(batches, "text", CHUNK):
-            k, t, _, lo, hi, row, name = kept_anchors(rows, data, offs)
+            k, t, _, lo, hi, row, name, _ = kept_anchors(rows, data, offs)
             i = np.flatnonzero(common.has(name & low))
             lo, hi, row, name = lo[i], hi[i], row[i], name[i]
             i = np.flatnonzero(first.has(_holder(name, Spans(data).hash(lo, hi + span), k[row])))
@@ -301,6 +321,7 @@ def duplicated(docs: DataFrame, span: int) -> list[DataFrame]:
     windows = table(docs.mapInArrow(send_windows, _BLOB).groupBy("bucket").applyInArrow(rank_windows, _HIT), "window-ranks")
     common.drop()
     first.drop()
+    free_exchanges(docs.sparkSession)
     return [ranked.filter("k is not null").select("k", "t", "lo", "hi"), windows]
 
 
