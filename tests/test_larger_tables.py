@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import validation
+from tablewright.operators import exact_near, model_building, neighbours, preprocess, validation
 from tablewright.plans import validation_queries
 
 
@@ -32,3 +32,41 @@ def test_equal_means_are_ties(spark):
     means = validation_queries.blocks(lambda _: df).collect()
     assert len(means) == 16 and len({r.x for r in means}) == 1
     assert validation.block_ranks(validation_queries.blocks(lambda _: df), "block", "l_linenumber", "x", False).first().statistic == pytest.approx(0)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock", "cosine", "hamming", "squared"])
+def test_boxes_find_what_brute_force_finds(metric):
+    rng = np.random.default_rng(1)
+    x, q = rng.integers(0, 9, (3000, 3)).astype(float), rng.integers(0, 9, (300, 3)).astype(float)
+    x = x[np.lexsort(x.T[::-1])]
+    if metric == "squared":
+        far = ((q[:, None] - x[None]) ** 2).mean(-1)
+    else:
+        far = neighbours._metric(q, x, metric)
+    far = np.round(far, 12)
+    want = np.argsort(far, axis=1, kind="stable")[:, :5]
+    d, i = exact_near.Boxes(x, 5, metric, 12).near(q)
+    assert np.array_equal(d, np.take_along_axis(far, want, 1))
+    assert np.array_equal(x[i], x[want])
+    if metric == "hamming":
+        d, r = exact_near.matched(x, np.ones(3, bool), q, 5)
+        assert np.array_equal(d, np.take_along_axis(far, want, 1)) and np.array_equal(r, x[want])
+
+
+def test_many_queries_as_few(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_LIMIT", 1000)
+    monkeypatch.setattr(exact_near, "PART", 700)
+    df = spark.range(2000).select("id", F.array((F.col("id") % 40).cast("double"), (F.col("id") % 7).cast("double")).alias("v"))
+    want = {(r.q, r.b): r.d for r in neighbours.search_all(df, df, "id", "v", 3).collect()}
+    assert {(r.q, r.b): r.d for r in exact_near.search_many(df, df, "id", "v", 3).collect()} == want
+
+
+def test_imputation_takes_more_than_100_000_rows(spark):
+    df = spark.range(100_050).select(F.when(F.col("id") > 0, F.col("id").cast("double")).alias("a"), F.col("id").cast("double").alias("b"))
+    assert preprocess.impute_knn(df, df, ["a", "b"], 3).filter("b = 0").first().a == 2
+
+
+def test_labels_of_more_than_20_000_rows(spark):
+    df = spark.range(50_000).select("id", F.array(F.col("id").cast("double")).alias("v"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("label"))
+    got = model_building.impute_labels(df, "id", "v", "label")
+    assert got.count() == 25_000 and got.filter("label <> id - 1").count() == 0
