@@ -70,3 +70,22 @@ def test_labels_of_more_than_20_000_rows(spark):
     df = spark.range(50_000).select("id", F.array(F.col("id").cast("double")).alias("v"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("label"))
     got = model_building.impute_labels(df, "id", "v", "label")
     assert got.count() == 25_000 and got.filter("label <> id - 1").count() == 0
+
+
+def test_sequential_takes_more_than_20_000_rows(spark):
+    df = spark.range(21_000).select("id", F.when(F.col("id") % 50 > 0, F.col("id").cast("double")).alias("a"), F.col("id").cast("double").alias("b"))
+    got = model_building.impute_sequentially(df, "id", ["a", "b"], 2)
+    assert got.filter("id % 50 = 0 and id > 0 and abs(a - id) > 1e-9").count() == 0 and got.count() == 21_000
+
+
+@pytest.mark.parametrize("n", [30, 300])
+def test_nearest_match_is_the_best_of_all(spark, n):
+    """Many queries in one place, so that the k nearest do not do at first."""
+    rng = np.random.default_rng(n)
+    x = np.r_[rng.normal(0, 0.01, (n // 3, 2)), rng.normal(0, 1, (n - n // 3, 2))]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id long, v array<double>")
+    q = list(range(n // 3))
+    got = neighbours.assign_nearest(df, df.filter(F.col("id") < n // 3), "id", "v", 2).collect()
+    cost = np.linalg.norm(x[q][:, None] - x[None], axis=2) + 1e9 * np.eye(n)[q]
+    assert sorted(r.q for r in got) == q and len({r.b for r in got}) == len(q)
+    assert sum(cost[r.q, r.b] for r in got) == pytest.approx(cost[q, neighbours.hungarian(cost)].sum())
