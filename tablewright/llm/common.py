@@ -51,6 +51,8 @@ def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/tablewright/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, rows // PER_FILE))
+    else:
+        free_heaps(spark)
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
@@ -71,6 +73,17 @@ def free_exchanges(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect all garbage, after which they hand free heap back to the system.
+
+    Left alone, a heap only grows towards its limit from one step to the next, and the workers' memory comes on top of it. One
+    task for each core: they start together, so each executor has one, and a second one finds little to do.
+    """
+    sc = spark.sparkContext
+    tasks = 1 if sc.master == "local" or sc.master.startswith("local[") else sc.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def buckets_for(df: DataFrame, entries: int, per_bucket: int) -> int:
     """How many buckets hold about per_bucket entries each, and no fewer than the session's shuffle partitions."""
     return max(input_slices(df), -(-entries // per_bucket))
